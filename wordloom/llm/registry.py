@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wordloom.llm import exact_dedup
+from wordloom.llm import exact_dedup, packing
 
 
 def queries() -> dict:
     return {
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
