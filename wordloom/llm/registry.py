@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wordloom.llm import exact_dedup, packing
+from wordloom.llm import exact_dedup, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
