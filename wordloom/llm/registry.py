@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wordloom.llm import exact_dedup, packing, simhash
+from wordloom.llm import exact_dedup, packing, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_quality_classifier": quality.op2_quality_classifier,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
