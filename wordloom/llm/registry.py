@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wordloom.llm import exact_dedup, packing, quality, simhash
+from wordloom.llm import exact_dedup, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_quality_classifier": quality.op2_quality_classifier,
+        "op3_mixing": mixing.op3_mixing,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
@@ -16,5 +17,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_mixing": mixing.OP3_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
