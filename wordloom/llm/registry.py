@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import exact_dedup, mixing, packing, quality, simhash
+from wordloom.llm import ann, exact_dedup, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_mixing": mixing.op3_mixing,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op8_nearest_neighbours": ann.op8_nearest_neighbours,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
@@ -18,5 +19,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.OP3_SQL,
+        "op8_nearest_neighbours": ann.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
