@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import ann, exact_dedup, mixing, packing, quality, simhash
+from wordloom.llm import ann, exact_dedup, licenses, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op8_nearest_neighbours": ann.op8_nearest_neighbours,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.OP3_SQL,
         "op8_nearest_neighbours": ann.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op10_license_scan": licenses.OP10_SQL,
     }
