@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import ann, exact_dedup, licenses, mixing, packing, quality, simhash
+from wordloom.llm import ann, exact_dedup, licenses, mixing, packing, pii, quality, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_mixing": mixing.op3_mixing,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op7_personal_data": pii.op7_personal_data,
         "op8_nearest_neighbours": ann.op8_nearest_neighbours,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_license_scan": licenses.op10_license_scan,
