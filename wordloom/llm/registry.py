@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import ann, exact_dedup, licenses, mixing, packing, pii, quality, simhash
+from wordloom.llm import ann, exact_dedup, licenses, mixing, packing, pii, quality, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_mixing": mixing.op3_mixing,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_personal_data": pii.op7_personal_data,
         "op8_nearest_neighbours": ann.op8_nearest_neighbours,
