@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Python's str.split sees it: \s of Java misses the Unicode separators.
 BLANKS = r"[\s\p{Z}\x85\x1c-\x1f]+"
@@ -31,19 +32,19 @@ def _kept(text: str) -> str:
     return "".join(c for c in text if c == "'" or unicodedata.category(c)[0] in "LN")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_word_nfkc(words: pd.Series) -> pd.Series:
     """F1 for any text: NFKC, case folding, then filtering."""
     return words.map(lambda w: None if w is None else _kept(unicodedata.normalize("NFKC", w).casefold()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_word_nfkc(words: pd.Series) -> pd.Series:
     """F3 for any text: NFKC, then filtering; case is kept."""
     return words.map(lambda w: None if w is None else _kept(unicodedata.normalize("NFKC", w)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def join_key_nfkc(words: pd.Series) -> pd.Series:
     """F3's comparison form: case folding comes after the filter, so it may bring back marks that F1 drops."""
     return words.map(lambda w: None if w is None else _kept(unicodedata.normalize("NFKC", w)).casefold())
@@ -133,10 +134,14 @@ def filter_path_escape(path: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """One decimal and a binary unit, B to TiB."""
-    out = F.format_string("%.1f TiB", size / F.lit(float(1 << 40)))
+    """One decimal, ties to even, and a binary unit, B to TiB."""
+
+    def shown(power: int, unit: str) -> Column:
+        return F.format_string(f"%.1f {unit}", F.bround(size / F.lit(float(1 << power)), 1))
+
+    out = shown(40, "TiB")
     for power, unit in ((30, "GiB"), (20, "MiB"), (10, "KiB"), (0, "B")):
-        out = F.when(size < F.lit(1 << power + 10), F.format_string(f"%.1f {unit}", size / F.lit(float(1 << power)))).otherwise(out)
+        out = F.when(size < F.lit(1 << power + 10), shown(power, unit)).otherwise(out)
     return out
 
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from wordloom.functions import text as T
 
@@ -172,7 +173,7 @@ TRAILING = re.compile(r"[A-Za-z.]+\Z")
 SITE = re.compile(r"\.(?:com|org|net|io|ai|co|tv)\b", re.I)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _pieces(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _sentence_pieces(t or ""))
 
