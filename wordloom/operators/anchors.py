@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wordloom.operators.transcripts import overlap_length
+from wordloom.functions import text as T
 
 LEAST = 0.005
 
@@ -17,6 +17,11 @@ def in_order() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("index")
 
 
+def fresh(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns under the same names but as new ones, so that both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in columns])
+
+
 def fuzzy_align(left: DataFrame, right: DataFrame, autojunk: bool = False) -> DataFrame:
     """(doc_id, left_index, right_index): order-preserving matches of two token streams (doc_id, index, token) by
     longest common blocks (J2). Grouped by document: the search is sequential within one."""
@@ -29,7 +34,7 @@ def fuzzy_align(left: DataFrame, right: DataFrame, autojunk: bool = False) -> Da
         ai, bi = a["index"].tolist(), b["index"].tolist()
         return pd.DataFrame({"doc_id": [key[0]] * len(pairs), "left_index": [ai[i] for i, _ in pairs], "right_index": [bi[j] for _, j in pairs]}).astype({"left_index": "int64", "right_index": "int64"})
 
-    groups = left.select("doc_id", "index", "token").groupBy("doc_id").cogroup(right.select("doc_id", "index", "token").groupBy("doc_id"))
+    groups = fresh(left, "doc_id", "index", "token").groupBy("doc_id").cogroup(fresh(right, "doc_id", "index", "token").groupBy("doc_id"))
     return groups.applyInPandas(match, f"doc_id {kind}, left_index bigint, right_index bigint")
 
 
@@ -116,7 +121,7 @@ def estimate_crops(segments: DataFrame, words: DataFrame, anchors: DataFrame, do
         F.min("own").alias("first"), F.max("own").alias("last"), F.count("own").alias("rough_anchor_count"),
         F.min_by("before", "index").alias("before"), F.min_by("after", "index").alias("after"),
     )
-    s = per.join(pace, "doc_id").join(anchors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_anchors")), "doc_id").filter("n_anchors >= 2")
+    s = per.join(pace, "doc_id")
 
     def mid(a: str) -> Column:
         return (F.col(f"{a}.start") + F.col(f"{a}.end")) / 2
@@ -131,6 +136,8 @@ def estimate_crops(segments: DataFrame, words: DataFrame, anchors: DataFrame, do
         "e1": F.greatest(F.col("lm") + p / 2, F.when(has, F.col("last.end")).otherwise(F.col("lm"))),
         "want": F.greatest(F.lit(4.0), F.greatest(F.lit(0.0), F.col("lm") - F.col("fm")) + F.greatest(F.lit(1.0), 2 * p)),
     })
+    enough = anchors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_anchors")).filter("n_anchors >= 2")
+    s = s.select("doc_id", "segment_id", "word_start", "word_end", "rough_anchor_count", "duration", "fm", "lm", "e0", "e1", "want").join(enough, "doc_id", "left_semi")
     pad = F.greatest(F.lit(0.0), (F.col("want") - (F.col("e1") - F.col("e0"))) / 2) + 1.35
     s = s.withColumns({"e0": F.col("e0") - pad, "e1": F.col("e1") + pad})
     raw = F.col("e1") - F.col("e0")
@@ -188,38 +195,37 @@ def alignment_segments(words: DataFrame, anchors: DataFrame, most: int = 60) ->
     return timed.groupBy("doc_id", "chunk_index").applyInPandas(cut, f"doc_id {kind}, segment_id string, source_chunk bigint, word_start bigint, word_end bigint, word_count bigint, text string")
 
 
-def window_word_times(windows: DataFrame, order: str = "window_index") -> DataFrame:
-    """(doc_id, pos, text, start, end, window_index): the words each window adds to those before, spread evenly over
-    what the window has left after the last word so far (W14). windows: (doc_id, order, text, start, end).
+def spread_windows(windows: list[tuple[int, float, float, list[str], list[str]]], most: int = 48) -> list[tuple[str, float, float, int]]:
+    """(word, start, end, window) of windows (number, start, end, words, join keys) in order.
 
-    Each window's start depends on what came before, so a document is one fold, on the JVM.
+    A window adds the words that don't repeat the end of what there is, evenly over what it has left after the last one.
     """
-    from wordloom.functions import text as T
+    out, keys, last = [], [], 0.0
+    for number, start, end, words, own in windows:
+        known = next((k for k in range(min(most, len(keys), len(own)), 1, -1) if keys[-k:] == own[:k]), 0)
+        begin, new = max(start, last), words[known:]
+        length = max(0.01, max(begin + 0.01, start, end) - begin)
+        for k, word in enumerate(new):
+            at = begin + length * k / len(new)
+            out.append((word, at, max(at + LEAST, begin + length * (k + 1) / len(new)), number))
+        keys += own[known:]
+        last = out[-1][2] if new else last
+    return out
 
-    word = "struct<text:string,key:string,start:double,end:double,window_index:bigint>"
-    keyed = windows.filter(F.size(T.tokens(F.col("text"))) > 0).select(
-        "doc_id", F.struct(F.col(order).cast("bigint").alias("o"), F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"), F.transform(T.tokens(F.col("text")), lambda w: F.struct(w.alias("text"), T.stitch_key(w).alias("key"))).alias("words")).alias("w")
-    )
-    listed = keyed.groupBy("doc_id").agg(F.array_sort(F.collect_list("w")).alias("ws"))
 
-    def keys(a: Column) -> Column:
-        return F.transform(a, lambda x: x["key"])
-
-    def add(done: Column, w: Column) -> Column:
-        tail = F.slice(done, F.greatest(F.size(done) - 48, F.lit(0)) + 1, F.lit(48))
-        new = F.slice(w["words"], overlap_length(keys(tail), keys(w["words"])) + 1, F.size(w["words"]))
-        begin = F.greatest(w["s"], F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0.0)))
-        length = F.greatest(F.lit(0.01), F.greatest(begin + 0.01, F.greatest(w["s"], w["e"])) - begin)
-        n = F.greatest(F.size(new), F.lit(1))
-
-        def timed(x: Column, k: Column) -> Column:
-            start = begin + length * k / n
-            return F.struct(x["text"].alias("text"), x["key"].alias("key"), start.alias("start"), F.greatest(start + LEAST, begin + length * (k + 1) / n).alias("end"), w["o"].alias("window_index"))
+def window_word_times(windows: DataFrame, order: str = "window_index") -> DataFrame:
+    """(doc_id, pos, text, start, end, window_index): spread_windows over (doc_id, order, text, start, end). Each window's
+    start depends on what came before, so a document goes to one Python group."""
+    kind = dict(windows.dtypes)["doc_id"]
+    words = T.tokens(F.col("text"))
+    keyed = windows.filter(F.size(words) > 0).select("doc_id", F.col(order).cast("bigint").alias("o"), F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"), words.alias("words"), F.transform(words, T.stitch_key).alias("keys"))
 
-        return F.concat(done, F.transform(new, timed))
+    def spread(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o")
+        rows = spread_windows([(o, s, e, list(w), list(k)) for o, s, e, w, k in zip(pdf["o"], pdf["s"], pdf["e"], pdf["words"], pdf["keys"], strict=True)])
+        return pd.DataFrame([(key[0], pos, *row) for pos, row in enumerate(rows)], columns=["doc_id", "pos", "text", "start", "end", "window_index"])
 
-    out = listed.select("doc_id", F.posexplode(F.aggregate("ws", F.array().cast(f"array<{word}>"), add)).alias("pos", "r"))
-    return out.select("doc_id", "pos", "r.text", "r.start", "r.end", "r.window_index")
+    return keyed.groupBy("doc_id").applyInPandas(spread, f"doc_id {kind}, pos bigint, text string, start double, end double, window_index bigint")
 
 
 def character_bounds(observed: DataFrame) -> DataFrame:
@@ -277,7 +283,7 @@ def align_characters(expected: DataFrame, observed: DataFrame, crops: DataFrame)
         rows = [] if found is None else [(key[0], i, s, e, found[1]) for i, (s, e) in zip(a["index"].tolist(), found[0], strict=True)]
         return pd.DataFrame(rows, columns=["doc_id", "index", "start", "end", "mode"])
 
-    groups = expected.join(crops.select("doc_id", "duration"), "doc_id").groupBy("doc_id").cogroup(observed.groupBy("doc_id"))
+    groups = fresh(expected, "doc_id", "index", "token").join(fresh(crops, "doc_id", "duration"), "doc_id").groupBy("doc_id").cogroup(fresh(observed, "doc_id", "index", "token", "start", "end").groupBy("doc_id"))
     return groups.applyInPandas(align, f"doc_id {kind}, index bigint, start double, end double, mode string")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
+from wordloom.operators.anchors import fresh
 
 GRAM = 4
 REPEAT_SIZES = (3, 4, 5, 6)
@@ -138,7 +139,7 @@ def align_words(predicted: DataFrame, gold: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": [key[0]] * len(found), "predicted_index": [a[i] for i, _ in found], "gold_index": [b[j] for _, j in found]}, dtype="int64")
 
     kind = dict(predicted.dtypes)["doc_id"]
-    grouped = predicted.select("doc_id", "index", "token").groupBy("doc_id").cogroup(gold.select("doc_id", "index", "token").groupBy("doc_id"))
+    grouped = fresh(predicted, "doc_id", "index", "token").groupBy("doc_id").cogroup(fresh(gold, "doc_id", "index", "token").groupBy("doc_id"))
     return grouped.applyInPandas(pairs, f"doc_id {kind}, predicted_index bigint, gold_index bigint")
 
 
