@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -121,34 +122,33 @@ def estimate_crops(segments: DataFrame, words: DataFrame, anchors: DataFrame, do
         F.min("own").alias("first"), F.max("own").alias("last"), F.count("own").alias("rough_anchor_count"),
         F.min_by("before", "index").alias("before"), F.min_by("after", "index").alias("after"),
     )
-    s = per.join(pace, "doc_id")
-
-    def mid(a: str) -> Column:
-        return (F.col(f"{a}.start") + F.col(f"{a}.end")) / 2
-
-    p, a, b = F.col("p"), F.col("word_start"), F.col("word_end")
-    has = F.col("rough_anchor_count") > 0
-    first_mid = F.when(has, mid("first") - (F.col("first.i") - a) * p).when(F.col("before").isNotNull(), mid("before") + (a - F.col("before.i")) * p).otherwise(mid("after") - (F.col("after.i") - a) * p)
-    s = s.withColumn("fm", first_mid)
-    s = s.withColumn("lm", F.when(has, mid("last") + (b - 1 - F.col("last.i")) * p).otherwise(F.col("fm") + F.greatest(b - a - 1, F.lit(0)) * p))
-    s = s.withColumns({
-        "e0": F.least(F.col("fm") - p / 2, F.when(has, F.col("first.start")).otherwise(F.col("fm"))),
-        "e1": F.greatest(F.col("lm") + p / 2, F.when(has, F.col("last.end")).otherwise(F.col("lm"))),
-        "want": F.greatest(F.lit(4.0), F.greatest(F.lit(0.0), F.col("lm") - F.col("fm")) + F.greatest(F.lit(1.0), 2 * p)),
-    })
     enough = anchors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_anchors")).filter("n_anchors >= 2")
-    s = s.select("doc_id", "segment_id", "word_start", "word_end", "rough_anchor_count", "duration", "fm", "lm", "e0", "e1", "want").join(enough, "doc_id", "left_semi")
-    pad = F.greatest(F.lit(0.0), (F.col("want") - (F.col("e1") - F.col("e0"))) / 2) + 1.35
-    s = s.withColumns({"e0": F.col("e0") - pad, "e1": F.col("e1") + pad})
-    raw = F.col("e1") - F.col("e0")
-    width = F.least(F.lit(longest), F.greatest(F.lit(12.0), F.col("want") + 2.7))
-    center = (F.col("fm") + F.col("lm")) / 2
-    s = s.withColumns({"raw": raw, "clip": raw > longest, "c0": F.when(raw > longest, center - width / 2).otherwise(F.col("e0")), "c1": F.when(raw > longest, center + width / 2).otherwise(F.col("e1"))})
-    s = s.select(
-        "doc_id", "segment_id", "word_start", "word_end", F.round(F.greatest(F.lit(0.0), F.col("c0")), 4).alias("crop_start"), F.round(F.least("duration", "c1"), 4).alias("crop_end"),
-        "rough_anchor_count", F.round("raw", 4).alias("raw_crop_span"), F.col("clip").alias("crop_clipped"),
-    )
-    return s.filter("crop_end > crop_start")
+    flat = [F.col(f"{side}.{c}").cast("double").alias(f"{side}_{c}") for side in ("first", "last", "before", "after") for c in ("i", "start", "end")]
+    s = per.join(pace, "doc_id").join(enough, "doc_id", "left_semi").select("doc_id", "segment_id", "word_start", "word_end", "rough_anchor_count", "p", "duration", *flat)
+    schema = ", ".join(f"{c} {t}" for c, t in s.dtypes if c in ("doc_id", "segment_id", "word_start", "word_end", "rough_anchor_count"))
+    # as one expression this is more than the code generator takes
+    crops = s.mapInPandas(lambda batches: (_crops(pdf, longest) for pdf in batches), f"{schema}, crop_start double, crop_end double, raw_crop_span double, crop_clipped boolean")
+    return crops.select("doc_id", "segment_id", "word_start", "word_end", "crop_start", "crop_end", "rough_anchor_count", "raw_crop_span", "crop_clipped").filter("crop_end > crop_start")
+
+
+def _crops(s: pd.DataFrame, longest: float) -> pd.DataFrame:
+    """Crops of segments with their first and last anchors, and the nearest outside, in columns."""
+    p, a, b, has = s["p"], s["word_start"], s["word_end"], s["rough_anchor_count"] > 0
+    mid = {side: (s[f"{side}_start"] + s[f"{side}_end"]) / 2 for side in ("first", "last", "before", "after")}
+    from_before, from_after = mid["before"] + (a - s["before_i"]) * p, mid["after"] - (s["after_i"] - a) * p
+    first = (mid["first"] - (s["first_i"] - a) * p).where(has, from_before.where(s["before_i"].notna(), from_after))
+    last = (mid["last"] + (b - 1 - s["last_i"]) * p).where(has, first + (b - a - 1).clip(lower=0) * p)
+    begin = (first - p / 2).where(~has, np.fmin(first - p / 2, s["first_start"]))
+    end = (last + p / 2).where(~has, np.fmax(last + p / 2, s["last_end"]))
+    wanted = np.maximum(4.0, (last - first).clip(lower=0) + np.maximum(1.0, 2 * p))
+    pad = ((wanted - (end - begin)) / 2).clip(lower=0) + 1.35
+    begin, end = begin - pad, end + pad
+    span = end - begin
+    width, center = np.minimum(longest, np.maximum(12.0, wanted + 2.7)), (first + last) / 2
+    clipped = span > longest
+    begin, end = begin.where(~clipped, center - width / 2), end.where(~clipped, center + width / 2)
+    kept = s[["doc_id", "segment_id", "word_start", "word_end", "rough_anchor_count"]]
+    return kept.assign(crop_start=begin.clip(lower=0).round(4), crop_end=np.minimum(s["duration"], end).round(4), raw_crop_span=span.round(4), crop_clipped=clipped)
 
 
 def cut_segments(n: int, times: list[float | None], most: int = 60, gap: float = 8.0, span: float = 35.0) -> list[tuple[int, int]]:
