@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm import ann, exact_dedup, licenses, mixing, packing, pii, quality, simhash, suffix_dedup
+from wordloom.llm import ann, exact_dedup, licenses, mixing, packing, pii, quality, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_line_dedup": substring_dedup.op6_line_dedup,
         "op7_personal_data": pii.op7_personal_data,
         "op8_nearest_neighbours": ann.op8_nearest_neighbours,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
