@@ -75,6 +75,11 @@ def test_blocks_change_no_item(monkeypatch):
     monkeypatch.setattr(sd, "BLOCK", 777)
     assert sd.items(raw) == whole
     split = sd.anchored(raw, sd.open_windows(raw, range(10**6)))
-    assert {(h, p) for h, a, b in split for p in range(a, b + 1)} == {(h, p) for h, a, b in anchors for p in range(a, b + 1)}
+
+    def windows(found):
+        return {(h, a + (form & 127), a + k) for h, a, form in found for k in range((form >> 7) + 1)}
+
+    assert windows(split) == windows(anchors)
+    assert all(h == int(sd.gram_hashes(raw, q, q + 1).view("<i8")[0]) and q - 76 <= p <= q for h, q, p in windows(anchors))
     for p in range(0, len(raw) - 99, 97):  # every window is in an item
         assert any(a <= p and p + 100 <= b for a, b in whole)

@@ -25,7 +25,9 @@ CUT_BITS = 8
 #: Bytes of a text that are looked at in one step.
 BLOCK = 1 << 20
 #: Bytes of context that one suffix array is meant to hold, and contexts of one anchor that go into one at most.
-SHARD_BYTES, MOST_CONTEXTS = 1 << 21, 1 << 14
+SHARD_BYTES, MOST_CONTEXTS = 1 << 20, 1 << 14
+#: A window has so many bytes beside its anchor, on one side or the other, at least.
+BESIDE = (MINIMUM - GRAM) // 2
 #: Bits of an item's number within its document.
 ORD_BITS = 24
 
@@ -103,7 +105,8 @@ def runs(mask: np.ndarray) -> np.ndarray:
 
 
 def anchored(raw: bytes, is_open: np.ndarray) -> list[tuple[int, int, int]]:
-    """(hash of the anchor, first window, last window) for each stretch of open windows that share an anchor.
+    """(hash of the anchor, first window, form) for each stretch of open windows that share an anchor. The form tells
+    how far from the first window the last one and the anchor are: 128 * one + the other.
 
     The anchor depends on the window's bytes alone: equal windows have anchors of equal hash.
     """
@@ -123,7 +126,8 @@ def anchored(raw: bytes, is_open: np.ndarray) -> list[tuple[int, int, int]]:
         ends = np.concatenate((begins[1:], [stop - at])) - 1
         keep = is_open[at + begins]
         begins, ends = begins[keep], ends[keep]
-        out += zip(h[anchor[begins]].view(np.int64).tolist(), (begins + at).tolist(), (ends + at).tolist(), strict=True)
+        form = (ends - begins) * 128 + anchor[begins] - begins
+        out += zip(h[anchor[begins]].view(np.int64).tolist(), (begins + at).tolist(), form.tolist(), strict=True)
     return out
 
 
@@ -137,19 +141,19 @@ def _anchors(batches):
             rows += own
         a = np.array(rows, np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a[:, 0]), pa.array(keys, pa.int64()), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2].astype(np.int32))], names=["h", "key", "lo", "hi"]
+            [pa.array(a[:, 0]), pa.array(keys, pa.int64()), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2].astype(np.int32))], names=["h", "key", "lo", "form"]
         )
 
 
 def _contexts(batches):
     for batch in batches:
-        out = ([], [], [], [])
+        out = ([], [], [], [], [])
         for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             raw = (text.as_py() or "").encode()
             for r in found:
-                for column, value in zip(out, (r["h"], key, r["lo"], raw[r["lo"] : r["hi"] + MINIMUM]), strict=True):
+                for column, value in zip(out, (r["h"], key, r["lo"], r["form"], raw[r["lo"] : r["lo"] + (r["form"] >> 7) + MINIMUM]), strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "key", "lo", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "key", "lo", "form", "context"])
 
 
 def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
@@ -227,12 +231,35 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     return [repeat[s : s + n - MINIMUM + 1] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
 
 
+def may_share(contexts: list[bytes], forms: list[int]) -> np.ndarray:
+    """Which contexts can share a window with another one at all.
+
+    Beside its anchor a window has BESIDE bytes on the left or on the right at least. So contexts that share one
+    agree in their anchor with that many bytes on one side; those that agree with none need no suffix array.
+    """
+    sides: list[list[int]] = [[], []]
+    for k, (context, form) in enumerate(zip(contexts, forms, strict=True)):
+        at = form & 127
+        sides[0].append(hash(context[at - BESIDE : at + GRAM]) if at >= BESIDE else k)
+        sides[1].append(hash(context[at : at + GRAM + BESIDE]) if len(context) >= at + GRAM + BESIDE else k)
+    found = np.zeros(len(contexts), bool)
+    for side in sides:
+        _, group, count = np.unique(np.array(side, np.int64), return_inverse=True, return_counts=True)
+        found |= count[group] > 1
+    return found
+
+
 def _shard_repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["key", "lo"], ignore_index=True)
+    pdf = pdf[may_share(pdf["context"].tolist(), pdf["form"].tolist())]
+    first: dict[bytes, int] = {}  # of equal contexts, all windows of all but the first are repeats
+    which = [first.setdefault(c, len(first)) for c in pdf["context"]]
     out = []
     if len(pdf) > 1:
-        for key, lo, mask in zip(pdf["key"].tolist(), pdf["lo"].tolist(), repeated_windows(pdf["context"].tolist()), strict=True):
-            out += [(key, lo + a, lo + b) for a, b in runs(mask).tolist()]
+        masks, seen = repeated_windows(list(first)), set()
+        for key, lo, context, k in zip(pdf["key"].tolist(), pdf["lo"].tolist(), pdf["context"], which, strict=True):
+            out += [(key, lo, lo + len(context) - MINIMUM + 1)] if k in seen else [(key, lo + a, lo + b) for a, b in runs(masks[k]).tolist()]
+            seen.add(k)
     return pd.DataFrame(out, columns=["key", "start", "stop"])
 
 
@@ -240,7 +267,7 @@ def _window_digests(batches):
     """Of contexts whose anchor is very frequent: every window by itself."""
     for batch in batches:
         keys, starts, digests = [], [], []
-        for key, lo, context in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for key, lo, context in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
             for k in range(len(context) - MINIMUM + 1):
                 keys.append(key)
                 starts.append(lo + k)
@@ -258,7 +285,7 @@ def removed_bytes(raw: bytes, firsts: list[int], repeats: list, hot: list, hot_f
     for r in repeats:
         repeated[r["start"] : r["stop"]] = True
     for r in hot:
-        repeated[r["lo"] : r["hi"] + 1] = True
+        repeated[r["lo"] : r["lo"] + (r["form"] >> 7) + 1] = True
     repeated[hot_firsts] = False
     depth = np.zeros(n + 1, np.int32)
     for a, b in runs(repeated):
@@ -324,7 +351,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     1. Long repeats: content-defined segments, and bridges over their cuts, are grouped by digest. In one that isn't
        the first of its kind every window is a repeat; a window's first place is never in one.
     2. The windows left are keyed by an anchor that depends on their bytes alone; most anchors occur once. The others'
-       contexts are dealt by anchor into shards of bounded size, whose repeats a suffix array and BWT tell.
+       contexts are dealt by anchor into shards of bounded size. Contexts that agree with no other for long enough
+       beside their anchor go, and equal ones stand for each other; a suffix array and BWT tell the repeats of the rest.
     3. An anchor with too many contexts for one shard has its windows grouped one by one, by digest.
     """
     spark = docs.sparkSession
@@ -336,17 +364,17 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     )
     firsts = _tidy(firsts.groupBy("key").agg(F.collect_list("item").alias("firsts")))
 
-    anchors = _tidy(texts.join(firsts, "key").select("key", "text", "firsts").mapInArrow(_anchors, "h bigint, key bigint, lo int, hi int"))
+    anchors = _tidy(texts.join(firsts, "key").select("key", "text", "firsts").mapInArrow(_anchors, "h bigint, key bigint, lo int, form int"))
     total = anchors.count()
     often = _tidy(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     again = _tidy(join_counted(anchors, often, "h", "n", total))
-    most, size = again.agg(F.max("n"), F.sum(F.col("hi") - F.col("lo") + F.lit(MINIMUM + 1))).first()
+    most, size = again.agg(F.max("n"), F.sum(F.shiftright("form", 7) + F.lit(MINIMUM + 1))).first()
     hot = F.col("n") > MOST_CONTEXTS
-    per_key = F.collect_list(F.struct("h", "lo", "hi")).alias("found")
+    per_key = F.collect_list(F.struct("h", "lo", "form")).alias("found")
 
     def contexts(own: DataFrame) -> DataFrame:
         some = texts.join(own.groupBy("key").agg(per_key), "key").select("key", "text", "found")
-        return some.mapInArrow(_contexts, "h bigint, key bigint, lo int, context binary")
+        return some.mapInArrow(_contexts, "h bigint, key bigint, lo int, form int, context binary")
 
     shards = max(1, math.ceil((size or 0) / SHARD_BYTES))
     dealt = contexts(again.filter(~hot)).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
@@ -357,10 +385,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     if (most or 0) > MOST_CONTEXTS:
         windows = contexts(again.filter(hot)).mapInArrow(_window_digests, "h1 bigint, h2 bigint, key bigint, start int")
         first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "start")).alias("f")).groupBy("f.key").agg(F.collect_list("f.start").alias("hot_firsts"))
-        spans = again.filter(hot).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("hot"))
+        spans = again.filter(hot).groupBy("key").agg(F.collect_list(F.struct("lo", "form")).alias("hot"))
         marked = marked.join(_tidy(spans), "key", "left").join(_tidy(first), "key", "left")
     else:
-        marked = marked.withColumns({"hot": F.expr("cast(null as array<struct<lo:int,hi:int>>)"), "hot_firsts": F.expr("cast(null as array<int>)")})
+        marked = marked.withColumns({"hot": F.expr("cast(null as array<struct<lo:int,form:int>>)"), "hot_firsts": F.expr("cast(null as array<int>)")})
     return marked.select("doc_id", "text", "firsts", "repeats", "hot", "hot_firsts").mapInArrow(
         _removed, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>, kept_sha256 string"
     )
