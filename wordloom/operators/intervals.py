@@ -52,7 +52,7 @@ def complement(regions: DataFrame, docs: DataFrame, least=None, above=None) -> D
 
     least keeps pieces of at least that length; above, pieces that are longer.
     """
-    merged = normalized(regions.join(docs, "doc_id").select("doc_id", "start", "end", "duration"), "duration") if "duration" not in regions.columns else normalized(regions, "duration")
+    merged = normalized(regions.select("doc_id", "start", "end").join(docs.select("doc_id", "duration"), "doc_id"), "duration")
     ends = docs.select("doc_id", F.col("duration").alias("start"), F.col("duration").alias("end"))
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     pieces = merged.select("doc_id", "start", "end").unionByName(ends)
