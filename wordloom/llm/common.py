@@ -64,3 +64,16 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
     few = F.broadcast(right.filter(hot))
     rest = left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti")
     return left.join(few, key).unionByName(rest.join(right.filter(~hot), key))
+
+
+def hashed_sample(df: DataFrame, column: str, rows: int, most: int) -> DataFrame:
+    """About `most` of `df`'s `rows` rows, never more, all if there are no more: those whose `column` hashes low.
+
+    A threshold on the hash leaves each partition with its share; a sort with a limit would send the driver as many
+    rows from every partition.
+    """
+    if rows <= most:
+        return df
+    share = 0.95 * most / rows
+    low = F.lit(int(share * 2.0**64) - 2**63)
+    return df.filter(F.xxhash64(F.col(column), F.lit(1)) < low).limit(most)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import join_counted, shuffle_partitions, table, written
+from wordloom.llm.common import hashed_sample, join_counted, shuffle_partitions, table, written
 from wordloom.llm.components import components
 
 #: Fingerprints link at so many differing bits or fewer.
@@ -219,7 +219,7 @@ def link_fingerprints(distinct: DataFrame, rows: int) -> DataFrame:
     """
     spark = distinct.sparkSession
     depth = min(DEPTH, max(0, math.ceil(math.log2(max(1, rows) / LEAF_ROWS))))
-    sample = distinct.orderBy(F.xxhash64(F.col("fp"), F.lit(1)), "fp").limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy()
+    sample = np.sort(hashed_sample(distinct.select("fp"), "fp", rows, SAMPLE_ROWS).toPandas()["fp"].to_numpy())
     trees = [fit_tree(half(sample, which), depth, 17 + which) if depth else [(0, 0)] for which in (0, 1)]
     routed = distinct.select("fp").mapInArrow(partial(_routed, trees=trees), "leaf bigint, fp bigint, visits boolean")
     width = max(shuffle_partitions(spark), min(4096, 2 << depth))
