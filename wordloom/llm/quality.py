@@ -13,7 +13,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import table
+from wordloom.llm.common import hashed_sample, table
 
 #: Features are hashed to numbers of so many bits.
 BITS = 18
@@ -168,7 +168,8 @@ def _features_of(batches):
 def fit_on_documents(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on the labelled documents that are not held out, at most SAMPLE_ROWS; labels of an id that disagree count as 0."""
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out())
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = hashed_sample(known, "doc_id", known.count(), SAMPLE_ROWS)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
     rows = (
         sample.mapInArrow(_features_of, "doc_id bigint, features binary, quality int")
