@@ -48,6 +48,30 @@ LICENSES = (
     ("BSD-2-Clause", BSD_HEAD + BSD_TAIL),
     ("BSD-3-Clause", BSD_HEAD + BSD_NAMES + BSD_TAIL),
 )
+#: Canonical digests of longer published texts: entire, and up to the end of their terms where an appendix follows;
+#: OFL-1.1 with its preamble for a font, and without. OP10_SQL knows LICENSES only.
+LICENSE_DIGESTS = (
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "3842a16357f0cdd1e23bb92ec7360a85dcebc4d690aa011625db0b4c951608b1"),
+    ("GFDL-1.3", "af67fd0f1a174a4bcb2f40070ab1d7b5e3519fd4e36fa89113923de9a4638f52"),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-1.0", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-2.0", "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca"),
+    ("GPL-3.0", "3c39b58d51baf32b2a21a55c429305f51cfd82e53cad05134293933580b4cd84"),
+    ("GPL-3.0", "57f71ba95bda9ddb21fcd4d2b6841fdc3ef7fcebd5c12a2fd2ee5f2027869fc6"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+    ("OFL-1.1", "4615ce90e68a37caa849efa2e5beeb913cb450de4039cbf2dfa1a3ed53b83a09"),
+    ("OFL-1.1", "95e31f8a9723c2605049fb76e743be71bd9d186ee6ebd18c3951a263cb15efb3"),
+)
 NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -84,10 +108,13 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def known_table(spark: SparkSession, known=LICENSES) -> DataFrame:
-    """(digest, license) of (license, text) pairs; texts that are alike once canonical count once, for the least name."""
+def known_table(spark: SparkSession, known=LICENSES, digests=()) -> DataFrame:
+    """(digest, license) of (license, text) pairs and (license, digest) pairs; texts that are alike once canonical count
+    once, for the least name."""
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text in known])).alias("r")
     table_ = spark.range(1).select(rows).select(digest(whole(canonical_lines(F.col("r.text")))).alias("digest"), F.col("r.name").alias("name"))
+    if digests:
+        table_ = table_.unionByName(spark.createDataFrame(list(digests), "name string, digest string"))
     return table_.groupBy("digest").agg(F.min("name").alias("license"))
 
 
@@ -99,7 +126,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, notices=NOTIC
     in the words of a known notice; n_notices is the number of such lines. A null text is empty. Nothing is
     shuffled, so repeated rows, null ids, hot sources and long texts are like any others; other columns are ignored.
     """
-    known = known_table(docs.sparkSession) if known is None else known
+    known = known_table(docs.sparkSession, LICENSES, LICENSE_DIGESTS) if known is None else known
     lookup = F.create_map(*[x for name, text in notices for x in (digest(whole(canonical_lines(F.lit(text)))), F.lit(name))])
     canon = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     found = canon.select(
