@@ -13,34 +13,86 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import table
 from wordloom.llm.suffix_dedup import ORD_BITS, _tidy, keyed_documents, runs
 
-#: Words that a line, and a sentence of a longer line, must have to be a unit: shorter ones repeat by chance.
+#: Words that a line, and a sentence of a longer line, must have to be a unit by itself: shorter ones repeat by chance.
+#: Shorter ones that follow each other are units together.
 LINE_WORDS, SENTENCE_WORDS = 5, 8
 
 LINE = re.compile(r"[^\n]+")
-SENTENCE = re.compile(r"\S.*?(?:(?<![.!?])[.!?]++(?=\s)|$)", re.S)
+SENTENCE = re.compile(r"\S.*?(?:(?<![.!?])[.!?]++(?=\s)|[。！？]++|$)", re.S)
+#: Letters of scripts that set no blanks between words: two of the first, or four of the second, count as a word.
+PAIRED, FOURFOLD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]"), re.compile(r"[฀-໿က-႟ក-៿]")
+
+
+def size(body: str) -> int:
+    """Words of a text."""
+    n = len(body.split())
+    return n if body.isascii() else max(n, len(PAIRED.findall(body)) // 2 + len(FOURFOLD.findall(body)) // 4)
+
+
+def stretches(short: list[tuple[int, int, str, int]], least: int) -> list[tuple[int, int, str]]:
+    """Units of short parts (start, stop, normalised, size) that follow each other: from each the fewest after it, and
+    to each the fewest before it, that have `least` words. They cover every repeat of as many words in whole parts.
+
+    One that overlaps an earlier one of the same words is none: the first would lose its end.
+    """
+    found, total = set(), [0]
+    for part in short:
+        total.append(total[-1] + part[3])
+    stop = 1
+    for i in range(len(short)):
+        while stop <= len(short) and total[stop] - total[i] < least:
+            stop += 1
+        if stop > len(short):
+            break
+        found.add((i, stop))
+    start = 0
+    for j in range(1, len(short) + 1):
+        while total[j] - total[start + 1 if start < j else start] >= least:
+            start += 1
+        if total[j] - total[start] >= least:
+            found.add((start, j))
+    out, ends = [], {}
+    for i, j in sorted(found):
+        unit = " ".join(part[2] for part in short[i:j])
+        if ends.get(unit, 0) <= i:
+            ends[unit] = j
+            out.append((short[i][0], short[j - 1][1], unit))
+    return out
 
 
 def units(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, normalised) of the units, in code points, by start and then the longer first.
 
-    Normalised is lower-cased with single blanks. A line is a unit, and so are its sentences if it has several.
+    Normalised is lower-cased with single blanks. A line is a unit, and so are its sentences if it has several; short
+    lines, and short sentences of a line, are units in stretches of those that follow each other.
     """
-    out = []
+    out, lines = [], []
     for line in LINE.finditer(text):
         body = line[0].strip()
         if not body:
             continue
         at = line.start() + line[0].index(body[0])
-        words = body.lower().split()
-        if len(words) >= LINE_WORDS:
-            out.append((at, at + len(body), " ".join(words)))
-        sentences = list(SENTENCE.finditer(body)) if len(words) > SENTENCE_WORDS else []
+        n, own = size(body), " ".join(body.lower().split())
+        if n < LINE_WORDS:
+            lines.append((at, at + len(body), own, n))
+            continue
+        out += stretches(lines, LINE_WORDS)
+        lines = []
+        out.append((at, at + len(body), own))
+        sentences = list(SENTENCE.finditer(body)) if n > SENTENCE_WORDS else []
         if len(sentences) > 1:
+            short = []
             for s in sentences:
-                own = s[0].lower().split()
-                if len(own) >= SENTENCE_WORDS:
-                    out.append((at + s.start(), at + s.start() + len(s[0].rstrip()), " ".join(own)))
-    return out
+                sentence = s[0].rstrip()
+                part = (at + s.start(), at + s.start() + len(sentence), " ".join(sentence.lower().split()), size(sentence))
+                if part[3] < SENTENCE_WORDS:
+                    short.append(part)
+                    continue
+                out += [*stretches(short, SENTENCE_WORDS), part[:3]]
+                short = []
+            out += stretches(short, SENTENCE_WORDS)
+    out += stretches(lines, LINE_WORDS)
+    return sorted(out, key=lambda u: (u[0], -u[1]))
 
 
 def _unit_digests(batches):
