@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,30 +104,70 @@ def word_distance(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.withColumn("_both", both).withColumn("distance", F.levenshtein(coded(F.col(left)), coded(F.col(right)))).drop("_both")
 
 
+#: Rows of costs between two that are kept.
+KEPT_ROWS = 256
+#: Cells of a row beside the diagonal that are tried first.
+FIRST_BAND = 64
+FAR = 1 << 40
+
+
+def _next_row(above: np.ndarray, i: int, token: int, gold: np.ndarray, band: int) -> np.ndarray:
+    """Row i of the costs within the band; cell j is at j - i + band. Cells beyond the table are FAR."""
+    j = np.arange(i - band, i + band + 1)
+    inside = (j >= 1) & (j <= len(gold))
+    same = np.zeros(len(j), bool)
+    same[inside] = gold[j[inside] - 1] == token
+    row = np.where(inside, np.minimum(above + ~same, np.append(above[1:], FAR) + 1), FAR)
+    if i <= band:
+        row[band - i] = i
+    row = np.minimum.accumulate(row - j) + j  # from the left
+    row[(j < 0) | (j > len(gold))] = FAR
+    return row
+
+
 def _alignment(predicted: list[str], gold: list[str]) -> tuple[int, list[tuple[int, int]]]:
     """Edit distance and the pairs of equal tokens on one best path: kept on the diagonal where tokens are equal, and of
-    equal costs a substitution before a deletion before an insertion."""
-    width = len(gold) + 1
-    costs = [list(range(width))]
-    for i, token in enumerate(predicted, 1):
-        above, row = costs[-1], [i]
-        for j, other in enumerate(gold, 1):
-            row.append(above[j - 1] if token == other else 1 + min(above[j - 1], above[j], row[j - 1]))
-        costs.append(row)
-    i, j, pairs = len(predicted), len(gold), []
+    equal costs a substitution before a deletion before an insertion.
+
+    Costs are computed in a band about the diagonal, twice as wide until the distance fits into it: no best path leaves
+    it then. Of the rows one in KEPT_ROWS is kept; those between are computed again for the path.
+    """
+    codes: dict[str, int] = {}
+    left = [codes.setdefault(t, len(codes)) for t in predicted]
+    right = np.array([codes.setdefault(t, len(codes)) for t in gold], np.int64)
+    n, m = len(left), len(right)
+    band = max(FIRST_BAND, abs(n - m))
+    while True:
+        j = np.arange(-band, band + 1)
+        row = np.where((j >= 0) & (j <= m), j, FAR)
+        kept = {0: row}
+        for i, token in enumerate(left, 1):
+            row = _next_row(row, i, token, right, band)
+            if i % KEPT_ROWS == 0:
+                kept[i] = row
+        distance = int(row[m - n + band])
+        if distance <= band:
+            break
+        band *= 2
+    i, j, pairs, costs = n, m, [], {}
     while i and j:
-        if predicted[i - 1] == gold[j - 1]:
+        if i not in costs or i - 1 not in costs:
+            start = (i - 1) // KEPT_ROWS * KEPT_ROWS
+            costs = {start: kept[start]}
+            for k in range(start + 1, i + 1):
+                costs[k] = _next_row(costs[k - 1], k, left[k - 1], right, band)
+        if left[i - 1] == right[j - 1]:
             i, j = i - 1, j - 1
             pairs.append((i, j))
             continue
-        now = costs[i][j] - 1
-        if costs[i - 1][j - 1] == now:
+        now, above, at = costs[i][j - i + band] - 1, costs[i - 1], j - i + band
+        if above[at] == now:
             i, j = i - 1, j - 1
-        elif costs[i - 1][j] == now:
+        elif at + 1 < len(above) and above[at + 1] == now:
             i -= 1
         else:
             j -= 1
-    return costs[-1][-1], pairs[::-1]
+    return distance, pairs[::-1]
 
 
 def align_words(predicted: DataFrame, gold: DataFrame) -> DataFrame:
