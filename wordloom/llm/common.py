@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +35,61 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What undoes the tables of each open scope, innermost last.
+_SCOPES: list[list[Callable[[], None]]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables that operators write within are deleted at its end: what a result is still computed from must
+    have been written or consumed by then. Without a scope they stay in the shared folder."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for undo in reversed(_SCOPES.pop()):
+            undo()
+
+
+def undone_by(undo: Callable[[], None]) -> None:
+    if _SCOPES:
+        _SCOPES[-1].append(undo)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file system; does nothing where there is no JVM at hand (Spark Connect)."""
+    if jvm := getattr(spark, "_jvm", None):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df`, computed once and read back from a table in the shared folder: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wordloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    undone_by(lambda: delete_path(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(df: DataFrame) -> DataFrame:
+    """`df` written; shuffle files that only older steps needed are let go now, not when the driver happens to collect
+    its garbage."""
+    out = written(df)
+    gc.collect()
+    if jvm := getattr(df.sparkSession, "_jvm", None):
+        jvm.System.gc()
+    return out
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,12 +104,15 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, hottest: int | None = None) -> DataFrame:
     """Inner join of `left` with `right`, which has each key once and in `count` the rows `left` has for it.
 
     Keys with more than 1/HOT_SHARE of all rows are joined by broadcast: there can only be
     HOT_SHARE of them, however large the tables are. All others are small enough to shuffle.
+    hottest: the largest count, if it is known; without a hot key the join is a plain one.
     """
+    if hottest is not None and hottest * HOT_SHARE <= total:
+        return left.join(right, key)
     hot = F.col(count) * HOT_SHARE > F.lit(total)
     few = F.broadcast(right.filter(hot))
     rest = left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti")
