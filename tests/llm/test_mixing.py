@@ -80,3 +80,33 @@ def test_mixed_documents_keep_columns(spark):
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     for r in mixing.mix(docs).collect():
         assert times.get(r.doc_id, 0) == (int(r.taken / r["size"] + 0.5) if r["size"] else 0)
+
+
+def test_small_sources_meet_their_targets(spark):
+    """A source whose target is far below a block, beside large ones."""
+    rows = [(i, " ".join(["w"] * 500), "big" if i % 3 else "large", "x") for i in range(300)] + [(900 + i, "a b c", "tiny", "x") for i in range(4)]
+    got = run(spark, rows)
+    tiny = [r for r in got if r.doc_id >= 900]
+    assert sum(r.taken for r in tiny) == 36 == tiny[0].target
+    for ids in (lambda i: i < 900 and i % 3, lambda i: i < 900 and not i % 3):
+        own = [r for r in got if ids(r.doc_id)]
+        assert 0 <= sum(r.taken for r in own) - own[0].target < 1
+
+
+def test_slots_order_the_mix(spark):
+    docs = spark.createDataFrame(corpus(random.Random(9), 300, ["a"] * 9 + ["b", "c"]), "doc_id bigint, text string, source string, size string")
+    first = {r.doc_id: r.first_slot for r in mixing.mix(docs, block=64).collect()}
+    assert all((first[r.doc_id] is not None) == (r.taken > 0) for r in mixing.mix(docs, block=64).collect())
+    seen, order = set(), []
+    for r in mixing.mixed_documents(docs, block=64).collect():
+        if r.doc_id not in seen:
+            order.append(first[r.doc_id])
+            seen.add(r.doc_id)
+    assert order == sorted(order) and len(set(order)) > 20
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, "m", 3, 4), (2, None, None, 8, None, 5, 6)], "doc_id bigint, text string, source string, times int, mixed_id string, mixed_slot int, row int")
+    assert [tuple(r) for r in mixing.mixed_documents(docs).collect()] == [(1, "a b", "s", 7, "m", 3, 4)]
+    assert mixing.mix(docs).count() == 2
+    assert mixing.mixed_documents(docs.limit(0)).collect() == []

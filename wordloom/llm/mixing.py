@@ -7,14 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import WORD, table, written
+from wordloom.llm.common import WORD, table, unused, written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (1, 2, 3)
 #: A source is taken so many times over at most.
 EPOCHS = 3
-#: Slots in the schedule at least (blocks shrink to make them), and words of a block at most.
-LEAST_SLOTS, MOST_WORDS = 1 << 18, 4096
+#: Words of a block, the same at every size of the input.
+BLOCK_WORDS = 1024
 #: 2**32 over the golden ratio, to the next odd number: slot t's point is the fraction of t times it, in 2**32nds.
 STEP, FULL = 2654435769, 1 << 32
 #: Points are looked up in so many equal parts of the unit interval.
@@ -109,46 +109,64 @@ def shuffled(sizes: DataFrame, source: DataFrame, rows: int) -> DataFrame:
     return placed.join(before, ["place", "range"]).select("doc_id", "place", "size", (F.col("within") + F.col("before")).alias("begin"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted).
+def taken_pieces(docs: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, size, source_size, target) of every row of `docs`, and (row, pass, slot, words): what the mix takes
+    of it, by pass over its source and by the schedule's slot.
 
     Each source is a circle of words, its documents in hashed order, passed EPOCHS times at most and cut into blocks
     of equal size. The schedule's slots go to sources by golden-ratio points, so that any stretch of it has nearly
-    the target weights; a source's nth slot takes its nth block. Blocks are joined with the documents they overlap.
-    A document may be taken in part where the last block ends. Null sources are one source, the last; a null text has
-    size 0; repeated rows count each; without words nothing is taken.
+    the target weights; a source's nth slot takes its nth block, up to its target. Where its slots end short of the
+    target (by a few blocks, or because a small source's target is less than one), the rest follows the last slot.
+    Blocks are joined with the documents they overlap.
     """
     spark = docs.sparkSession
     sizes = written(sized(docs))
     source = written(targets(sizes))
     rows, total = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
-    total = total or 0
-    block = min(MOST_WORDS, max(1, total // LEAST_SLOTS))
-    slots = -(-total // block)
-    blocks = schedule(spark, source, slots).select("place", F.col("nth").alias("block"))
-    limits = source.select("place", "source_size", "target", F.least(F.lit(EPOCHS) * F.col("source_size"), F.ceil("target") + 8 * block).alias("most"))
-    # blocks that no slot takes needn't be cut out: a source's slots are within a few of its target
-    begun = shuffled(sizes, source, rows).join(limits, "place").withColumn("row", F.monotonically_increasing_id())
-    begun = written(begun)
+    slots = -(-(total or 0) // block)
+    blocks = schedule(spark, source, slots).select("place", F.col("nth").alias("block"), "slot")
+    limits = source.select("place", "source_size", "target", F.least(F.lit(EPOCHS) * F.col("source_size"), F.ceil("target")).alias("most"))
+    begun = written(shuffled(sizes, source, rows).join(limits, "place").withColumn("row", F.monotonically_increasing_id()))
     passes = F.expr(f"sequence(0, cast(least({EPOCHS} - 1, (most - 1) div greatest(source_size, 1)) as int))")
-    spans = begun.filter("size > 0").select("row", "place", "size", "most", "begin", "source_size", F.explode(passes).alias("pass"))
-    spans = spans.withColumn("at", F.col("begin") + F.col("pass") * F.col("source_size")).select("row", "place", "at", F.least(F.col("at") + F.col("size"), "most").alias("end")).filter("end > at")
-    pieces = spans.select("row", "place", "at", "end", F.explode(F.expr(f"sequence(at div {block}, (end - 1) div {block})")).alias("block"))
+    spans = begun.filter("size > 0 and most > 0").select("row", "place", "size", "most", "begin", "source_size", F.explode(passes).alias("pass"))
+    spans = spans.withColumn("at", F.col("begin") + F.col("pass") * F.col("source_size")).select("row", "place", "pass", "at", F.least(F.col("at") + F.col("size"), "most").alias("end")).filter("end > at")
+    pieces = spans.select("row", "place", "pass", "at", "end", F.explode(F.expr(f"sequence(at div {block}, (end - 1) div {block})")).alias("block"))
     overlap = F.least("end", (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
-    taken = pieces.join(blocks, ["place", "block"]).groupBy("row").agg(F.sum(overlap).alias("taken"))
-    return begun.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    pieces = pieces.join(blocks, ["place", "block"], "left").select("row", "pass", F.coalesce("slot", F.lit(slots)).alias("slot"), overlap.alias("words"))
+    return begun.select("row", "doc_id", "size", "source_size", "target"), pieces
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """`docs` as the mix has them: a row for each whole time, rounded, that the mix takes a document; columns as they were.
+def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of `docs`: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted),
+    first_slot (the schedule's slot where it is first taken; null if it isn't).
+
+    A document may be taken in part where its source's target ends. Null sources are one source, the last; a null text
+    has size 0; repeated rows count each; without words nothing is taken; an empty table gives none.
+    """
+    begun, pieces = taken_pieces(docs, block)
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    return begun.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """`docs` in the order of the mix: a row for each whole time, rounded, that it takes a document, placed by the slots
+    where it is taken; columns as they were, whatever their names.
 
     Whether a document is taken at all, and how often, depends on its id and size alone, so that rows which repeat
-    an id share what it is taken.
+    an id share what it is taken. Null texts and texts without words are never taken.
     """
-    times = mix(docs).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"))
-    often = times.select(F.col("doc_id").alias("mixed_id"), F.round("share").cast("int").alias("times")).filter("times > 0")
-    both = docs.join(often, docs["doc_id"].eqNullSafe(often["mixed_id"]))
-    return both.withColumn("mixed_time", F.explode(F.sequence(F.lit(1), "times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    begun, pieces = taken_pieces(docs, block)
+    by_pass = pieces.groupBy("row", "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    of_row = by_pass.groupBy("row").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list("slot")).alias("slots"))
+    times = begun.join(of_row, "row", "left").groupBy("doc_id").agg(
+        F.round(F.sum(F.coalesce("taken", F.lit(0))) / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("times"), F.max("slots").alias("slots")
+    ).filter("times > 0")
+    mixed, slot = unused(docs, "mixed_id"), unused(docs, "mixed_slot")
+    # the nth time is placed at the nth slot; of a document that is rounded up, the last one again
+    at = F.transform(F.sequence(F.lit(1), "times"), lambda n: F.get("slots", F.least(n, F.size("slots")) - 1))
+    often = times.select(F.col("doc_id").alias(mixed), at.alias(slot))
+    both = docs.join(often, docs["doc_id"].eqNullSafe(often[mixed])).withColumn(slot, F.explode(slot))
+    return both.orderBy(slot, mixed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,18 +199,20 @@ WITH sizes AS (
          ceil((upto - share)::DOUBLE / shares::DOUBLE * 4294967296.0)::BIGINT AS low, ceil(upto::DOUBLE / shares::DOUBLE * 4294967296.0)::BIGINT AS high
   FROM s7
 ), par AS (
-  SELECT least(4096, greatest(1, max(total) // 262144)) AS block, max(total) AS total FROM src
+  SELECT (max(total) + 1023) // 1024 AS slots FROM src
 ), slots AS (
-  SELECT unnest(range((SELECT (total + block - 1) // block FROM par))) AS slot
+  SELECT unnest(range((SELECT slots FROM par))) AS slot
 ), taken_blocks AS (
-  SELECT place, count(*) AS n FROM slots JOIN src ON (slot * 2654435769) % 4294967296 >= low AND (slot * 2654435769) % 4294967296 < high GROUP BY place
+  SELECT place, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block
+  FROM slots JOIN src ON (slot * 2654435769) % 4294967296 >= low AND (slot * 2654435769) % 4294967296 < high
 ), docs AS (
-  SELECT doc_id, size, src.*, coalesce(least(n * block, 3 * source_size, ceil(target)::BIGINT + 8 * block), 0) AS words,
+  SELECT doc_id, size, src.*, least(3 * source_size, ceil(target)::BIGINT) AS words,
          sum(size) OVER (PARTITION BY place ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS begun
-  FROM sizes JOIN src ON sizes.source IS NOT DISTINCT FROM src.source LEFT JOIN taken_blocks USING (place) CROSS JOIN par
+  FROM sizes JOIN src ON sizes.source IS NOT DISTINCT FROM src.source
 )
 SELECT doc_id, size, source_size, target,
        (least(greatest(words - begun, 0), size) + least(greatest(words - begun - source_size, 0), size)
-        + least(greatest(words - begun - 2 * source_size, 0), size))::BIGINT AS taken
-FROM docs
+        + least(greatest(words - begun - 2 * source_size, 0), size))::BIGINT AS taken,
+       CASE WHEN size > 0 AND words > begun THEN coalesce(slot, slots) END AS first_slot
+FROM docs CROSS JOIN par LEFT JOIN taken_blocks ON taken_blocks.place = docs.place AND taken_blocks.block = begun // 1024
 """
