@@ -75,6 +75,43 @@ def test_leaf_with_its_own_levels(monkeypatch):
     assert roots(fps, links) == roots(fps, brute(fps))
 
 
+@pytest.mark.parametrize("which", [0, 1])
+def test_one_half_is_hot(spark, monkeypatch, which):
+    """Very many fingerprints that agree in one half are dealt out by the other."""
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 32)
+    rng, same = random.Random(5), 0xDEADBEEF
+    fps = {f if f < 2**63 else f - 2**64 for f in (rng.getrandbits(32) << 32 * (1 - which) | (same ^ (1 << rng.randrange(32) if i % 3 == 0 else 0)) << 32 * which for i in range(1500))}
+    fps |= {((f & (2**64 - 1)) ^ (1 << 32 * (1 - which) + rng.randrange(31))) - (2**64 if f < 0 else 0) for f in list(fps)[:500]}
+    fps = [f - 2**64 if f >= 2**63 else f for f in fps]
+    split = []
+    monkeypatch.setattr(simhash, "join_counted", lambda left, right, *a, f=simhash.join_counted, **k: split.append(1) or f(left, right, *a, **k))
+    got = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp bigint"), len(fps)).collect()
+    assert split
+    assert roots(fps, [(r.a, r.b) for r in got]) == roots(fps, brute(fps))
+
+
+def test_drawn_levels(monkeypatch):
+    """More levels than are fitted: two points within the radius still meet in a leaf."""
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 32, 400, dtype=np.uint32)
+    b = a ^ (np.uint32(1) << rng.integers(0, 32, 400).astype(np.uint32))
+    tree = simhash.fit_tree(a, 3, 1)
+    row, leaf, visits = simhash.route(np.concatenate([a, b]), tree, 1, depth=9)
+    homes = {r: x for r, x, v in zip(row.tolist(), leaf.tolist(), visits.tolist(), strict=True) if not v}
+    seen = {(r, x) for r, x in zip(row.tolist(), leaf.tolist(), strict=True)}
+    assert len(set(homes.values())) > 100
+    assert all((i, homes[i + 400]) in seen or (i + 400, homes[i]) in seen for i in range(400))
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "a b c d", "x", 1), (1, "a b c d", "y", 2), (2, "A b c d", "z", 3), (None, "", "n", 4), (None, None, "m", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept_id string, kept_nth int")
+    out = simhash.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "None"]
+    assert simhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
 def test_components(spark):
     rng = random.Random(1)
     path = [(i, i + 1) for i in range(60)]

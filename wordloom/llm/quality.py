@@ -9,7 +9,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +21,8 @@ DIMS = 1 << BITS
 GRAMS = (1, 2, 3)
 #: Labelled documents that the model is fitted on at most: those whose ids hash lowest.
 SAMPLE_ROWS = 6000
+#: Bytes of features that the model is fitted on at most: rows beyond them, in the order of hashes, are left out.
+SAMPLE_BYTES = 1 << 26
 #: Cost of a violated margin (of the smaller class more, in inverse proportion), rounds over the sample, folds for the scale.
 COST, ROUNDS, FOLDS = 1.0, 15, 3
 #: Documents that score this or more are predicted to be of quality 1.
@@ -129,7 +130,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
 
     With one class only, or none, every score is that class's smoothed share.
     """
-    if not good.any() or good.all():
+    if not len(good) or not good.any() or good.all():
         share = (good.sum() + 0.5) / (len(good) + 1)
         return Model(np.zeros(DIMS, np.float32), np.zeros(DIMS, np.float32), 0.0, 0.0, math.log(share / (1 - share)))
 
@@ -165,8 +166,28 @@ def _features_of(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "features", "quality"])
 
 
+def _fitted(batches, most: int):
+    """The model of a sample (doc_id, features, quality) as one row."""
+    rows, good, size = [], [], 0
+    for batch in batches:
+        for found, quality in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            found = found.as_py()
+            size += len(found)
+            if size <= most:
+                rows.append(np.frombuffer(found, np.uint32))
+                good.append(quality == 1)
+    model = fit(rows, np.array(good, bool))
+    values = [[model.weights.astype(np.float32).tobytes()], [model.ratios.astype(np.float32).tobytes()], [model.bias], [model.slope], [model.shift]]
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["weights", "ratios", "bias", "slope", "shift"])
+
+
 def fit_on_documents(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on the labelled documents that are not held out, at most SAMPLE_ROWS; labels of an id that disagree count as 0."""
+    """Fits on the labelled documents that are not held out, at most SAMPLE_ROWS and SAMPLE_BYTES.
+
+    Labels of an id that disagree count as 0; of rows that repeat an id, the one of the least features (as bytes) is
+    used. Null texts count as empty; labels without a document, of a null id or other than 0 and 1 are ignored. Without
+    labels every score is 0.5. The model is fitted in one task, and only its weights, 2 MB, come to the driver.
+    """
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = hashed_sample(known, "doc_id", known.count(), SAMPLE_ROWS)
@@ -174,36 +195,39 @@ def fit_on_documents(docs: DataFrame, labels: DataFrame) -> Model:
     rows = (
         sample.mapInArrow(_features_of, "doc_id bigint, features binary, quality int")
         .groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).collect()
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("doc_id", "features", "quality")
     )
-    return fit([np.frombuffer(r.features, np.uint32) for r in rows], np.array([r.quality == 1 for r in rows], bool))
+    fitted = rows.mapInArrow(partial(_fitted, most=SAMPLE_BYTES), "weights binary, ratios binary, bias double, slope double, shift double").first()
+    if fitted is None:  # no rows, no task
+        return fit([], np.zeros(0, bool))
+    return Model(np.frombuffer(fitted.weights, np.float32), np.frombuffer(fitted.ratios, np.float32), fitted.bias, fitted.slope, fitted.shift)
 
 
-def _scored(batches, model: Broadcast):
+def _scored(batches, model: Model):
     for batch in batches:
-        scores = np.array([model.value.score(features(t.as_py())) for t in batch.column(1)], float)
+        scores = np.array([model.score(features(t.as_py())) for t in batch.column(1)], float)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
         )
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted, for every row. A null text scores as an empty one; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, held_out, score (0 to 1), predicted, for every row, one by one: repeated rows score alike, an empty table
+    gives none. A null text scores as an empty one; a null id isn't held out; other columns are ignored."""
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(
-        partial(_scored, model=shared), "doc_id bigint, held_out boolean, score double, predicted int"
+        partial(_scored, model=model), "doc_id bigint, held_out boolean, score double, predicted int"
     )
 
 
-def _good_rows(batches, model: Broadcast, at: int):
+def _good_rows(batches, model: Model, at: int):
     for batch in batches:
-        yield batch.filter(pa.array([model.value.score(features(t.as_py())) >= THRESHOLD for t in batch.column(at)], pa.bool_()))
+        yield batch.filter(pa.array([model.score(features(t.as_py())) >= THRESHOLD for t in batch.column(at)], pa.bool_()))
 
 
 def drop_poor(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` without the rows predicted to be poor; columns as they were. It moves no rows between executors."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_good_rows, model=shared, at=docs.columns.index("text")), docs.schema)
+    """`docs` without the rows predicted to be poor; columns as they were. It moves no rows between executors. Null texts
+    score as empty ones; repeated rows stay or go together; an empty table gives none."""
+    return docs.mapInArrow(partial(_good_rows, model=model, at=docs.columns.index("text")), docs.schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import hashed_sample, join_counted, shuffle_partitions, table, written
+from wordloom.llm.common import hashed_sample, join_counted, shuffle_partitions, table, unused, written
 from wordloom.llm.components import components
 
 #: Fingerprints link at so many differing bits or fewer.
@@ -22,8 +22,10 @@ SHINGLE = 3
 LEAF_ROWS = 4096
 #: The trees' vantage points and radii are fitted on at most so many fingerprints; all are indexed.
 SAMPLE_ROWS = 1 << 16
-#: Levels fitted on a sample: 16 of its points for each leaf. Leaves that are still too large are split where they are.
+#: Levels fitted on a sample: 16 of its points for each leaf. Further levels, as many as the rows need, have drawn vantage
+#: points and the radius that halves random points.
 DEPTH = 12
+MEDIAN_RADIUS = 15
 #: Shingles hashed at a time, and pairs of a leaf compared at a time.
 BLOCK = 1 << 15
 PAIR_BLOCK = 1 << 21
@@ -70,7 +72,7 @@ def half(fp: np.ndarray, which: int) -> np.ndarray:
     return ((fp.view(np.uint64) >> np.uint64(32 * which)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def fit_tree(points: np.ndarray, depth: int, seed: int) -> list[tuple[int, int]]:
+def fit_tree(points: np.ndarray, depth: int, seed: int, reach: int = RADIUS // 2) -> list[tuple[int, int]]:
     """Vantage point and radius of each inner node, in heap order (node 1 is the root; its children are 2 and 3).
 
     Points within the radius go to the left child. The vantage point is, of a few candidates, the one whose
@@ -91,7 +93,7 @@ def fit_tree(points: np.ndarray, depth: int, seed: int) -> list[tuple[int, int]]
             d = np.bitwise_count(own ^ v) if len(own) else np.array([16], np.uint8)
             counts = np.bincount(d, minlength=33)
             inner = np.cumsum(counts)
-            band = np.convolve(counts, np.ones(RADIUS // 2, int))[:33] if RADIUS // 2 else np.zeros(33, int)
+            band = np.convolve(counts, np.ones(reach, int))[:33] if reach else np.zeros(33, int)
             cost = inner.astype(float) ** 2 + (len(d) - inner + band).astype(float) ** 2
             r = int(cost.argmin())
             if best is None or cost[r] < best[0]:
@@ -105,20 +107,31 @@ def fit_tree(points: np.ndarray, depth: int, seed: int) -> list[tuple[int, int]]
     return tree
 
 
-def route(halves: np.ndarray, tree: list[tuple[int, int]], radius: int, visits: np.ndarray | None = None):
+def drawn(node: np.ndarray) -> np.ndarray:
+    """Vantage points of nodes, drawn by their number alone (splitmix64)."""
+    x = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def route(halves: np.ndarray, tree: list[tuple[int, int]], radius: int, visits: np.ndarray | None = None, depth: int = 0, root: int = 1):
     """(row, leaf, visits): the home leaf of every point, and leaves that it visits as its ball crosses a boundary.
 
-    visits: points that have been visitors from the start.
+    visits: points that have been visitors from the start. depth: levels in all, if more than `tree` has; root: the
+    number of the node to begin with, below which vantage points are drawn if `tree` is empty.
 
     If two points are parted by a node, the one inside is at most the radius from the sphere (the triangle
     inequality bounds what the vantage point sees), so it is enough that inner points visit the outer side.
     """
-    row, node = np.arange(len(halves)), np.ones(len(halves), np.int64)
+    row, node = np.arange(len(halves)), np.full(len(halves), root, np.int64)
     visits = np.zeros(len(halves), bool) if visits is None else visits
     vs, rs = np.array([v for v, _ in tree], np.uint32), np.array([r for _, r in tree], np.int64)
-    while len(tree) > 1 and len(node) and node[0] < len(tree):
-        d = np.bitwise_count(halves[row] ^ vs[node]).astype(np.int64)
-        r = rs[node]
+    fitted = (len(tree) - 1).bit_length() if len(tree) > 1 else 0
+    for level in range(max(fitted, depth)):
+        known = level < fitted
+        d = np.bitwise_count(halves[row] ^ (vs[node] if known else drawn(node))).astype(np.int64)
+        r = rs[node] if known else MEDIAN_RADIUS
         inside, near = d <= r, (d <= r) & (d > r - radius)
         # a visitor on the inner side goes along too, and one on the outer side may have partners inside
         back = visits & (d > r) & (d <= r + radius)
@@ -130,18 +143,40 @@ def route(halves: np.ndarray, tree: list[tuple[int, int]], radius: int, visits:
     return row, node, visits
 
 
-def _routed(batches, trees):
+def _routed(batches, trees, depth: int):
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
         for which, tree in enumerate(trees):
-            row, leaf, visits = route(half(fp, which), tree, RADIUS // 2)
+            row, leaf, visits = route(half(fp, which), tree, RADIUS // 2, depth=depth)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(2 * leaf + which), pa.array(fp[row]), pa.array(visits)], names=["leaf", "fp", "visits"]
             )
 
 
-def close_links(fp: np.ndarray, visits: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (each point, the first point of its set) that join the points of a leaf within RADIUS bits.
+def _split_further(batches):
+    """Rows (leaf, fp, visits, home) of leaves that hold too much, dealt out by the other half of the bits, within the
+    whole radius: points that are alike in one half are spread by the other."""
+    for batch in batches:
+        leaf, fp, visits, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        order = np.lexsort((leaf, home))
+        cuts = np.flatnonzero((leaf[order][1:] != leaf[order][:-1]) | (home[order][1:] != home[order][:-1])) + 1
+        for own in np.split(order, cuts):
+            if not len(own):
+                continue
+            which = int(leaf[own[0]]) % 2
+            deep = split_depth(int(home[own[0]]))
+            row, part, again = route(half(fp[own], 1 - which), [], RADIUS, visits[own], deep, int(leaf[own[0]]))
+            # numbers of parts end in the half that they were dealt out by first, and are below 0
+            yield pa.RecordBatch.from_arrays([pa.array(-(2 * part + which) - 1), pa.array(fp[own][row]), pa.array(again)], names=["leaf", "fp", "visits"])
+
+
+def split_depth(home: int) -> int:
+    return max(0, math.ceil(math.log2(home / LEAF_ROWS)))
+
+
+def close_links(fp: np.ndarray, visits: np.ndarray, which: int, reach: int = RADIUS // 2) -> tuple[np.ndarray, np.ndarray]:
+    """Links (each point, the first point of its set) that join the points of a leaf within RADIUS bits in all and
+    `reach` bits in one half.
 
     Points at home are ordered by their distance from a vantage point in the leaf; by the triangle inequality a
     point can only be near those at almost the same distance. All pairs in reach are compared, in blocks; pairs
@@ -166,7 +201,7 @@ def close_links(fp: np.ndarray, visits: np.ndarray, which: int) -> tuple[np.ndar
 
     for value in np.unique(d):
         own = np.flatnonzero(d == value)
-        low, high = np.searchsorted(ranks, value - RADIUS // 2, "left"), np.searchsorted(ranks, value + RADIUS // 2, "right")
+        low, high = np.searchsorted(ranks, value - reach, "left"), np.searchsorted(ranks, value + reach, "right")
         if high <= low:
             continue
         step = max(1, PAIR_BLOCK // int(high - low))
@@ -187,42 +222,70 @@ def close_links(fp: np.ndarray, visits: np.ndarray, which: int) -> tuple[np.ndar
     return points[tied].view(np.int64), points[sets[tied]].view(np.int64)
 
 
-def leaf_links(fp: np.ndarray, visits: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a leaf; one with many times the rows it should have gets further levels of its own first."""
+def leaf_links(fp: np.ndarray, visits: np.ndarray, which: int, reach: int = RADIUS // 2, other: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a leaf; one with many times the rows it should have gets further levels of its own first, and parts
+    that one half of the bits can't split are split by the other, within the whole radius."""
     home = int((~visits).sum())
     if home <= 4 * LEAF_ROWS:
-        return close_links(fp, visits, which)
+        return close_links(fp, visits, which, reach)
     halves = half(fp, which)
     own = halves[~visits]
-    tree = fit_tree(own[:: max(1, home // SAMPLE_ROWS)], min(DEPTH, math.ceil(math.log2(home / LEAF_ROWS))), 31)
-    row, leaf, visits = route(halves, tree, RADIUS // 2, visits)
+    tree = fit_tree(own[:: max(1, home // SAMPLE_ROWS)], min(DEPTH, split_depth(home)), 31, reach)
+    row, leaf, visits = route(halves, tree, reach, visits)
     order = np.argsort(leaf, kind="stable")
     row, leaf, visits = row[order], leaf[order], visits[order]
     found = []
     for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(leaf)) + 1):
-        # a part as large as the whole can't be split by distance: it is searched as it is
-        search = close_links if (~visits[part]).sum() > 0.9 * home else leaf_links
-        found.append(search(fp[row[part]], visits[part], which))
+        if (~visits[part]).sum() <= 0.9 * home:
+            found.append(leaf_links(fp[row[part]], visits[part], which, reach, other))
+        elif other:
+            found.append(leaf_links(fp[row[part]], visits[part], 1 - which, RADIUS, False))
+        else:  # apart in neither half: it is searched as it is
+            found.append(close_links(fp[row[part]], visits[part], which, reach))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def _leaf_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    a, b = leaf_links(pdf["fp"].to_numpy(), pdf["visits"].to_numpy(), int(key[0]) % 2)
+    leaf = int(key[0])
+    if leaf >= 0:
+        a, b = leaf_links(pdf["fp"].to_numpy(), pdf["visits"].to_numpy(), leaf % 2)
+    else:  # a part of a leaf, dealt out by the other half
+        a, b = leaf_links(pdf["fp"].to_numpy(), pdf["visits"].to_numpy(), 1 - (-leaf - 1) % 2, RADIUS)
     return pd.DataFrame({"a": a, "b": b})
 
 
+def _fitted_trees(batches, depth: int):
+    """Both trees of a sample, as one row of bytes."""
+    found = [batch.column(0).to_numpy(zero_copy_only=False) for batch in batches]
+    sample = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+    trees = [np.array(fit_tree(half(sample, which), depth, 17 + which), np.int64).tobytes() for which in (0, 1)]
+    yield pa.RecordBatch.from_arrays([pa.array([t], pa.binary()) for t in trees], names=["low", "high"])
+
+
 def link_fingerprints(distinct: DataFrame, rows: int) -> DataFrame:
     """Links (a, b) between fingerprints that join all within RADIUS bits; `distinct` has a column fp without repeats.
 
-    The upper levels of a vantage-point tree for each half of the bits are fitted on a bounded sample and deal all
-    fingerprints out to leaves; each leaf is searched on its own, with the points beside its boundaries as visitors.
+    The upper levels of a vantage-point tree for each half of the bits are fitted on a bounded sample, in one task;
+    levels below them have drawn vantage points, as many as the rows need. They deal all fingerprints out to leaves, and
+    each leaf is searched on its own, with the points beside its boundaries as visitors. Leaves that still hold many
+    times what they should, as where very many fingerprints agree in one half, are dealt out anew by the other half.
     """
     spark = distinct.sparkSession
-    depth = min(DEPTH, max(0, math.ceil(math.log2(max(1, rows) / LEAF_ROWS))))
-    sample = np.sort(hashed_sample(distinct.select("fp"), "fp", rows, SAMPLE_ROWS).toPandas()["fp"].to_numpy())
-    trees = [fit_tree(half(sample, which), depth, 17 + which) if depth else [(0, 0)] for which in (0, 1)]
-    routed = distinct.select("fp").mapInArrow(partial(_routed, trees=trees), "leaf bigint, fp bigint, visits boolean")
-    width = max(shuffle_partitions(spark), min(4096, 2 << depth))
+    depth = max(0, math.ceil(math.log2(max(1, rows) / LEAF_ROWS)))
+    trees = [[(0, 0)], [(0, 0)]]
+    if depth:
+        fitted = hashed_sample(distinct.select("fp"), "fp", rows, SAMPLE_ROWS).repartition(1).mapInArrow(partial(_fitted_trees, depth=min(DEPTH, depth)), "low binary, high binary").first()
+        trees = [[tuple(x) for x in np.frombuffer(t, np.int64).reshape(-1, 2).tolist()] for t in fitted]
+    routed = distinct.select("fp").mapInArrow(partial(_routed, trees=trees, depth=depth), "leaf bigint, fp bigint, visits boolean")
+    if depth:
+        routed = written(routed)
+        sizes = routed.groupBy("leaf").agg(F.count_if(~F.col("visits")).alias("home"), F.count(F.lit(1)).alias("n")).filter(F.col("home") > 4 * LEAF_ROWS)
+        large = written(sizes)
+        if not large.isEmpty():
+            rest = routed.join(large.select("leaf"), "leaf", "left_anti")
+            of_large = join_counted(routed, large, "leaf", "n", routed.count()).select("leaf", "fp", "visits", "home")
+            routed = written(rest.unionByName(of_large.mapInArrow(_split_further, "leaf bigint, fp bigint, visits boolean")))
+    width = max(shuffle_partitions(spark), min(1 << 15, 2 << depth))
     return routed.repartition(width, "leaf").groupBy("leaf").applyInPandas(_leaf_links, "a bigint, b bigint")
 
 
@@ -231,7 +294,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     component_id is the smallest id that can be reached over fingerprints at most RADIUS bits apart. Null and empty
     texts have fingerprint 0 and link as any other. Null ids never become a component_id unless all of a component
-    are null. Repeated rows get a row each. Other columns are ignored.
+    are null. Repeated rows get a row each; an empty table gives none. Other columns are ignored.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle))
     rows = prints.count()
@@ -249,10 +312,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def one_of_each(docs: DataFrame, components_: DataFrame) -> DataFrame:
+    """`docs` with one row of each component (doc_id, component_id), one of its component_id; columns as they were.
+
+    Of rows that repeat that id, the one whose values hash lowest stays.
+    """
+    kept, nth = unused(docs, "kept_id"), unused(docs, "kept_nth")
+    found = components_.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    both = docs.join(found, docs["doc_id"].eqNullSafe(found[kept]), "left_semi")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return both.withColumn(nth, order).filter(F.col(nth) == 1).drop(nth)
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, that of its component_id; columns as they were."""
-    found = near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
+    """`docs` with one row of each component of near_dedup, that of its component_id; columns as they were.
+
+    Rows without words are one component. Rows of null ids stay if their component has no other ids; of those and of
+    rows that repeat an id, one stays. An empty table gives none.
+    """
+    return one_of_each(docs, near_dedup(docs))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
