@@ -8,9 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from test_shingle_dedup import shingles
 from test_simhash import plain as plain_fingerprint
 from wordloom.llm import mixing, packing, quality
-from wordloom.llm.common import written
+from wordloom.llm.common import shared_folder, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,7 +59,15 @@ def test_stages(spark):
                     if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3:
                         x, y = find(a), find(b)
                         root[max(x, y)] = min(x, y)
-            assert got == Counter(i for i in ids if find(i) == i)
+            # one of each SimHash group stays; then one of each group that shares five-word shingles
+            left = {i: shingles(ids[i].text) for i in ids if find(i) == i}
+            order, before_, root = list(left), None, {i: i for i in left}
+            alike_ = [(a, b) for a in order for b in order if a < b and (left[a] == left[b] or len(left[a] & left[b]) >= 0.8 * len(left[a] | left[b]))]
+            while root != before_:
+                before_ = dict(root)
+                for a, b in alike_:
+                    root[a] = root[b] = min(root[a], root[b])
+            assert got == Counter(i for i in left if root[i] == i) and len(got) < len(left)
         elif name == "mixing":
             taken = {r.doc_id: r for r in mixing.mix(docs).collect()}
             assert got == Counter({i: n for i, r in taken.items() if r["size"] and (n := int(r.taken / r["size"] + 0.5))})
@@ -74,3 +83,26 @@ def test_stages(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_hard_rows(spark):
+    """Nulls in every column, empty texts, repeated rows, extra columns with clashing names, and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    columns = docs.columns
+    clash = {c: F.lit(i) for i, c in enumerate(("times", "mixed_id", "mixed_slot", "kept_sha", "kept_nth", "kept_id", "node", "row", "label"))}
+    none = spark.createDataFrame([(None,) * len(columns), (7001, None, *[None] * (len(columns) - 2)), (7002, "", *[None] * (len(columns) - 2))], docs.schema)
+    hard = docs.unionByName(none).unionByName(none).unionByName(docs.filter("doc_id % 3 = 0")).withColumns(clash)
+    for table in (hard, hard.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            table = written(stage(spark, table, SF))
+            assert table.columns == hard.columns
+            assert table.count() == 0 or table.agg(*[F.min(c) == i for i, c in enumerate(clash)]).first() == (True,) * len(clash)
+        packed = corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in table.collect()}
+
+
+def test_run_deletes_what_it_wrote(spark):
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, SF).count()
+    assert len(set(folder.iterdir()) - before) == len(corpus_pipeline.STAGES)

@@ -5,6 +5,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
+import numpy as np
 from wordloom.llm import shingle_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,20 @@ def test_pipeline_leaves_no_near_copies(spark, monkeypatch):
     left = corpus_pipeline.run(spark, SF)
     assert left.columns == spark.read.parquet(f"{SF}/documents.parquet").columns
     assert alike({r.doc_id: r.text for r in left.collect()}) == []
+
+
+def test_further_pairs(spark, monkeypatch):
+    """A band with more nodes than a tile: all pairs of components with like signatures, and few others."""
+    monkeypatch.setattr(shingle_dedup, "TILE", 8)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, (20, 96)).astype(np.uint16)
+    rows, sketches = [], {}
+    for node in range(60):
+        own = base[node % 20].copy()
+        own[rng.choice(96, 10, replace=False)] = 7
+        sketches[node] = own
+        rows += [(key, node, node if node % 2 else 1000, own.tobytes()) for key in (5, 6)]
+    root = {node: r for _, node, r, _ in rows}
+    got = {(r.a, r.b) for r in shingle_dedup.further_pairs(spark.createDataFrame(rows, "key bigint, node bigint, root bigint, sketch binary"), 4).collect()}
+    want = {(a, b) for a in sketches for b in sketches if a > b and root[a] != root[b] and (sketches[a] == sketches[b]).sum() >= 0.6 * 96}
+    assert got == want and len(want) > 15

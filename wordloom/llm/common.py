@@ -20,19 +20,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1024
 
 
+#: The temporary folder of each application whose session names none.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where it is unset, as in tests on one machine, a temporary folder is made, one for each application.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="wordloom-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = spark.sparkContext.applicationId
+    if own not in _TEMPORARY:
+        _TEMPORARY[own] = tempfile.mkdtemp(prefix="wordloom-")
+        atexit.register(shutil.rmtree, _TEMPORARY[own], ignore_errors=True)
+    return _TEMPORARY[own]
 
 
 #: What undoes the tables of each open scope, innermost last.
@@ -63,12 +68,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read back from a table in the shared folder: its lineage ends there."""
+def written(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """`df`, computed once and read back from a table in the shared folder: its lineage ends there. A lasting table
+    outlives the scope it is written in."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wordloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    undone_by(lambda: delete_path(spark, path))
+    if not lasting:
+        undone_by(lambda: delete_path(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

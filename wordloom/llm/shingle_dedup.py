@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import join_counted, written
+from wordloom.llm.common import join_counted, shuffle_partitions, written
 from wordloom.llm.components import components
+from wordloom.llm.simhash import one_of_each
 
 #: Words of a shingle, and the least Jaccard similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -18,6 +20,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 12
+#: Nodes of a band that are compared with as many others in one task, by their signatures; those that agree in less than
+#: PROMISING of it are far below SIMILARITY (five standard deviations).
+TILE, PROMISING = 1024, 0.6
 #: The signature's hash functions are x * odd + number, modulo 2 ** 64.
 TIMES, PLUS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 TIMES |= np.uint64(1)
@@ -38,16 +43,17 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A key for each band of the set's MinHash signature; none for an empty set."""
+def bands(own: np.ndarray) -> tuple[list[int], bytes]:
+    """A key for each band of the set's MinHash signature, and 16 bits of each value of it; none for an empty set."""
     import xxhash
 
     if not len(own):
-        return []
+        return [], b""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), BLOCK):
         least = np.minimum(least, (own[None, at : at + BLOCK] * TIMES + PLUS).min(axis=1))
-    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+    return keys, (least >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def _sketches(batches, shingle: int):
@@ -56,8 +62,40 @@ def _sketches(batches, shingle: int):
     for batch in batches:
         sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-        keys = [np.array(bands(s), np.uint64).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text", "node", "keys"])
+        found = [bands(s) for s in sets]
+        keys = [np.array(k, np.uint64).view(np.int64) for k, _ in found]
+        columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array([b for _, b in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "node", "keys", "sketch"])
+
+
+def _promising(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a > b) of a tile's nodes in different components whose signatures agree in much."""
+    left, right = pdf[pdf["i"] == key[1]], pdf[pdf["i"] == key[2]]
+    a, b = (np.frombuffer(b"".join(side["sketch"]), np.uint16).reshape(len(side), -1) for side in (left, right))
+    out = []
+    for at in range(0, len(a), 64):
+        agree = np.zeros((len(a[at : at + 64]), len(b)), np.uint8)
+        for k in range(a.shape[1] if len(a) else 0):
+            agree += a[at : at + 64, k, None] == b[None, :, k]
+        x, y = np.nonzero(agree >= PROMISING * a.shape[1])
+        out.append(pd.DataFrame({"a": left["node"].to_numpy()[at + x], "b": right["node"].to_numpy()[y], "r": left["root"].to_numpy()[at + x], "s": right["root"].to_numpy()[y]}))
+    found = pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in "abrs"})
+    found = found[found["r"] != found["s"]]
+    return pd.DataFrame({"a": np.maximum(found["a"], found["b"]), "b": np.minimum(found["a"], found["b"])}).drop_duplicates()
+
+
+def further_pairs(placed: DataFrame, width: int) -> DataFrame:
+    """(a, b) of nodes that share a band, are in different components and may be alike; placed: (key, node, root, sketch).
+
+    A band's nodes are dealt into blocks of about TILE, and each pair of blocks is one task's work, so that a band with
+    very many nodes is many tasks; only pairs with like signatures leave them.
+    """
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
+    dealt = join_counted(placed, sizes, "key", "n", placed.count()).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", "sketch")
+    return tiles.repartition(width, "key", "low", "high").groupBy("key", "low", "high").applyInPandas(_promising, "a bigint, b bigint").distinct()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -84,12 +122,13 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of `docs`: id, component_id, the smallest id that can be reached over texts of whose word shingles
     they share `least` or more (Jaccard).
 
-    Rows of one shingle set are one node. Of the nodes that share a band, first each is compared with the band's least
-    node; pairs that this leaves in two components are then compared as well, so no pair that meets goes unseen. Only
-    texts of nodes that meet another are moved.
+    Rows of one shingle set are one node; rows without words are one as well. Of the nodes that share a band, first each
+    is compared with the band's least node. Where this leaves a band's nodes in several components, their signatures are
+    compared in tiles (further_pairs), and what agrees in much is compared as well. Only texts of nodes that meet another
+    are moved. Null ids lose against any other; repeated rows get a row each; an empty table gives none.
     """
-    rows = written(docs.select(id_col, text_col).mapInArrow(partial(_sketches, shingle=shingle), "id bigint, text string, node bigint, keys array<bigint>"))
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("members"), F.first("keys").alias("keys")))
+    rows = written(docs.select(id_col, text_col).mapInArrow(partial(_sketches, shingle=shingle), "id bigint, text string, node bigint, keys array<bigint>, sketch binary"))
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("members"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     met = nodes.select("node", F.explode("keys").alias("key"))
     total = nodes.count() * BANDS
     shared = met.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -101,9 +140,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(links)
     placed = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    placed = written(placed.join(apart, "key", "left_semi"))
-    left, right = placed.toDF("key", "a", "root_a"), placed.toDF("key", "b", "root_b")
-    more = left.join(right, "key").filter("a > b and root_a <> root_b").select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    placed = written(placed.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
+    more = further_pairs(placed, shuffle_partitions(docs.sparkSession)).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _checked(written(more), texts, shingle, least)
     roots = components(links.unionByName(second.filter("alike").select("a", "b")))
     placed = written(nodes.select("node", "least_id", "members").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -113,6 +151,6 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, that of its component_id; columns as they were."""
-    found = shingle_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
+    """`docs` with one row of each component, that of its component_id; columns as they were. Of rows that repeat that id
+    one stays; rows without words are copies of each other; an empty table gives none."""
+    return one_of_each(docs, shingle_components(docs))
