@@ -9,36 +9,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm import exact_dedup, mixing, packing, quality, shingle_dedup, simhash
-from wordloom.llm.common import table, written
+from wordloom.llm.common import scope, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier, fitted on the labelled ones among them, rejects."""
+    """Drops the documents that the quality classifier, fitted on the labelled ones among them, rejects.
+
+    Null and empty texts score as a text without features; rows that repeat an id and a text stay or go together; an
+    empty table gives none. Columns are as they were.
+    """
     return quality.drop_poor(docs, quality.fit_on_documents(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the one of the largest doc_id."""
+    """Of texts equal but for the case of A-Z, keeps the one of the largest doc_id.
+
+    Null texts are copies of empty ones; a null id loses against any other; of rows that repeat an id and a text one
+    stays; an empty table gives none. Columns are as they were.
+    """
     return exact_dedup.drop_copies(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that of the smallest doc_id."""
-    return simhash.drop_near_copies(docs)
-
+    """Keeps one document of each group of near copies, that of the smallest doc_id.
 
-def drop_shingle_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of what SimHash leaves, keeps one document of each group that shares 0.8 or more of its five-word shingles."""
-    return shingle_dedup.drop_near_copies(docs)
+    First by SimHash, then, as 3 differing bits stand for a similarity of about 0.97, by five-word shingles of a
+    similarity of 0.8 or more. Texts without words are copies of each other; a null id loses against any other; of rows
+    that repeat an id one stays; an empty table gives none. Columns are as they were.
+    """
+    return shingle_dedup.drop_near_copies(written(simhash.drop_near_copies(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often, in whole times, as the mix by source weights does."""
+    """Takes each document as often, in whole times, as the mix by source weights does, in the order of its schedule.
+
+    Texts without words (null ones too) are never taken; a null source is one source; rows that repeat an id are taken
+    alike; an empty table gives none. Columns are as they were.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences; a row per piece."""
+    """Packs the documents' tokens into sequences; a row per piece.
+
+    A null or empty text is its end token alone; repeated rows are packed once each; an empty table gives none.
+    """
     return packing.pack_documents(docs)
 
 
@@ -50,18 +65,15 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Steps that `run` adds after a stage. SimHash within 3 bits, to which the stage is bound, leaves most near copies below
-#: a similarity of about 0.97.
-AFTER = {"SimHash near-dedup": drop_shingle_copies}
-
 #: A fitted classifier, fingerprints and a tokenizer are beyond SQL: tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents. What a stage wrote on its way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
-        if name in AFTER:
-            docs = written(AFTER[name](spark, docs, sf_dir))
+    for _, stage in STAGES:
+        with scope():
+            found = stage(spark, docs, sf_dir)
+            docs = written(found, lasting=True)
     return docs
