@@ -24,9 +24,9 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("shape", [(ann.QUERY_ROWS, ann.CANDIDATE_ROWS, 256, 2048), (4, 16, 3, 5)])
+@pytest.mark.parametrize("shape", [(ann.QUERY_ROWS, ann.STRIP_ROWS, 256, 2048), (4, 16, 3, 5), (8, 1000, 3, 25)])
 def test_against_brute_force(spark, monkeypatch, shape):
-    for name, value in zip(("QUERY_ROWS", "CANDIDATE_ROWS", "TILE_QUERIES", "TILE_CANDIDATES"), shape, strict=True):
+    for name, value in zip(("QUERY_ROWS", "STRIP_ROWS", "TILE_QUERIES", "TILE_CANDIDATES"), shape, strict=True):
         monkeypatch.setattr(ann, name, value)
     monkeypatch.setattr(ann, "PAIRS", 7)
     rng = random.Random(6)
@@ -50,3 +50,18 @@ def test_bounds_hold():
     product, off = left.bounds(right, slice(0, 50), slice(0, 60))
     assert (np.abs(a @ b.T - product) <= off).all()
     assert np.median(off / np.abs(a @ b.T)) < 1
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    """The least vector of an id counts, as query and as candidate, wherever its rows are."""
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 9.0]), (1, [2.0, 0.0]), (1, [2.0, -1.0]), (2, [1.0, 1.0])]
+    want = brute([(20, [0.5, 9.0]), (1, [2.0, -1.0]), (2, [1.0, 1.0])], 20)
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "vec_id bigint, embedding array<float>").repartition(5)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, "id % 20 = 0").collect()) == want
+
+
+def test_doubles_stay_doubles(spark):
+    rows = [(0, [1 / 3, 1e-3]), (1, [1 / 7, 5.0]), (2, [1 / 9, 2.0])]
+    got = {r.vec_id: r.score for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "id = 0").collect()}
+    assert got == {1: 1 / 3 * (1 / 7) + 1e-3 * 5.0, 2: 1 / 3 * (1 / 9) + 1e-3 * 2.0}

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import shuffle_partitions, table
+from wordloom.llm.common import shuffle_partitions, table, written
 
 NEIGHBOURS = 20
-#: Rows of a query block and of a candidate block at most; a pair of blocks is one cell of the grid, one task's work.
-QUERY_ROWS, CANDIDATE_ROWS = 1 << 14, 1 << 13
-#: Candidate blocks that are made at least, if there are rows for them, so that a cluster has work for all.
-LEAST_BLOCKS = 48
+#: Queries that a task holds at most, in rows and in bytes; candidates of a strip, which a task reads past them, tile by
+#: tile, however long the strip is. A query is copied once a strip, a candidate once a block of queries.
+QUERY_ROWS, QUERY_BYTES, STRIP_ROWS = 1 << 16, 96 << 20, 1 << 18
+#: Cells (a block of queries with a strip) that are made at least, if there are rows for them, so that a cluster has work
+#: for all, and rows of a strip that are worth a cell.
+LEAST_CELLS, LEAST_ROWS = 48, 256
 #: Queries and candidates whose products are held at a time.
 TILE_QUERIES, TILE_CANDIDATES = 256, 2048
 #: Pairs computed in full at a time.
@@ -26,12 +31,11 @@ FOUND = "query_id bigint, vec_id bigint, score double"
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): vectors that are neither null nor zero and have finite components only."""
-    v = F.col("v")
+    """(id, v): vectors that are neither null nor zero and have finite components only, as they are stored: float or double."""
+    v, kind = F.col("v"), dict(vectors.dtypes)[vector_col]
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(
-        v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    )
+    kept = F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
+    return vectors.select(F.col(id_col).alias("id"), kept.alias("v")).filter(v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
 class Tile:
@@ -70,52 +74,100 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_cell(query_ids, queries, ids, vectors, k: int):
-    """(query id, ids, scores) of the k nearest candidates of the cell, for each query.
-
-    A tile's lower bounds give a score that k candidates reach for sure; only those whose upper bound reaches it too
-    are computed in full. What earlier tiles found makes that score higher.
-    """
-    left, right = Tile(queries), Tile(vectors)
-    for at in range(0, len(queries), TILE_QUERIES):
-        rows = slice(at, min(at + TILE_QUERIES, len(queries)))
-        n = rows.stop - at
-        held_ids, held = [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
-        floor = np.full(n, -np.inf)
-        for c in range(0, len(vectors), TILE_CANDIDATES):
-            cols = slice(c, min(c + TILE_CANDIDATES, len(vectors)))
-            product, off = left.bounds(right, rows, cols)
-            own = query_ids[rows, None] == ids[None, cols]
-            low = np.where(own, -np.inf, product - off)
-            if low.shape[1] >= k:
-                floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
+class QueryBlock:
+    """Queries of one length that candidates are led past, tile by tile; the k nearest so far of each are held."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k, self.tile = ids, vectors, k, Tile(vectors)
+        self.floor = np.full(len(ids), -np.inf)  # a score that k candidates reach for sure
+        self.held_ids, self.held = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Where a tile's upper bound reaches what k candidates reach for sure, the product is computed in full. The first
+        tile's lower bounds tell that score, later on what is held does."""
+        right, k = Tile(vectors), self.k
+        cols = slice(0, len(ids))
+        for at in range(0, len(self.ids), TILE_QUERIES):
+            rows = slice(at, min(at + TILE_QUERIES, len(self.ids)))
+            product, off = self.tile.bounds(right, rows, cols)
+            own = self.ids[rows, None] == ids[None, :]
+            floor = self.floor[rows]
+            if len(ids) >= k and np.isneginf(floor).any():
+                low = np.where(own, -np.inf, product - off)
+                floor = np.maximum(floor, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
             i, j = np.nonzero((product + off >= floor[:, None]) & ~own)
-            score = np.concatenate([products(queries[rows][i[p : p + PAIRS]], vectors[cols][j[p : p + PAIRS]]) for p in range(0, len(i), PAIRS)] or [np.zeros(0)])
-            cuts = np.searchsorted(i, np.arange(n + 1))
-            for q in range(n):
+            score = np.concatenate([products(self.vectors[rows][i[p : p + PAIRS]], vectors[j[p : p + PAIRS]]) for p in range(0, len(i), PAIRS)] or [np.zeros(0)])
+            cuts = np.searchsorted(i, np.arange(rows.stop - at + 1))
+            for q in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = slice(cuts[q], cuts[q + 1])
-                if mine.stop > mine.start:
-                    all_ids, all_scores = np.concatenate([held_ids[q], ids[cols][j[mine]]]), np.concatenate([held[q], score[mine]])
-                    top = best(all_ids, all_scores, k)
-                    held_ids[q], held[q] = all_ids[top], all_scores[top]
-                    if len(top) == k:
-                        floor[q] = max(floor[q], held[q][-1])
-        for q in range(n):
-            yield query_ids[at + q], held_ids[q], held[q]
-
-
-def _cell(key, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    left, right = left.drop_duplicates("id"), right.drop_duplicates("id")
-    out = {"query_id": [], "vec_id": [], "score": []}
-    for size, own in left.groupby(left["v"].map(len)) if len(left) and len(right) else ():
-        others = right[right["v"].map(len) == size]
-        if len(others):
-            found = search_cell(own["id"].to_numpy(), np.stack(own["v"].to_numpy()), others["id"].to_numpy(), np.stack(others["v"].to_numpy()), k)
-            for query, ids, scores in found:
-                out["query_id"].append(np.full(len(ids), query))
-                out["vec_id"].append(ids)
-                out["score"].append(scores)
-    return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, float if c == "score" else np.int64) for c, v in out.items()})
+                all_ids, all_scores = np.concatenate([self.held_ids[at + q], ids[j[mine]]]), np.concatenate([self.held[at + q], score[mine]])
+                top = best(all_ids, all_scores, k)
+                self.held_ids[at + q], self.held[at + q] = all_ids[top], all_scores[top]
+                if len(top) == k:
+                    self.floor[at + q] = max(floor[q], self.held[at + q][-1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(self.ids, [len(x) for x in self.held_ids]), np.concatenate(self.held_ids), np.concatenate(self.held)
+
+
+def by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and their vectors as one matrix, by number of components."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        flat = pc.list_flatten(column.take(pa.array(rows))).to_numpy(zero_copy_only=False)
+        out[n] = rows, flat.astype(np.float64).reshape(len(rows), n)
+    return out
+
+
+class Cell:
+    """A block of queries, and candidates that wait for a full tile; apart by length."""
+
+    def __init__(self, k: int):
+        self.k, self.queries, self.blocks, self.waiting = k, {}, None, {}
+
+    def add_queries(self, ids: np.ndarray, column: pa.Array) -> None:
+        for n, (rows, vectors) in by_length(column).items():
+            self.queries.setdefault(n, []).append((ids[rows], vectors))
+
+    def add_candidates(self, ids: np.ndarray, column: pa.Array) -> None:
+        if self.blocks is None:
+            self.blocks = {n: QueryBlock(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]), self.k) for n, parts in self.queries.items()}
+        for n, (rows, vectors) in by_length(column).items():
+            if n in self.blocks:
+                self.waiting.setdefault(n, []).append((ids[rows], vectors))
+                if sum(len(i) for i, _ in self.waiting[n]) >= TILE_CANDIDATES:
+                    self.search(n)
+
+    def search(self, n: int) -> None:
+        parts = self.waiting.pop(n)
+        ids, vectors = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
+        for at in range(0, len(ids), TILE_CANDIDATES):
+            self.blocks[n].meet(ids[at : at + TILE_CANDIDATES], vectors[at : at + TILE_CANDIDATES])
+
+    def found(self):
+        for n in list(self.waiting):
+            self.search(n)
+        for block in (self.blocks or {}).values():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in block.found()], names=["query_id", "vec_id", "score"])
+
+
+def _cells(batches, k: int):
+    """Rows (cell, side, id, v) come by cell, queries (side 0) first."""
+    now, cell = None, Cell(k)
+    for batch in batches:
+        number, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ids = batch.column(2).to_numpy()
+        cuts = [0, *(np.flatnonzero((number[1:] != number[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(number)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b == a:
+                continue
+            if number[a] != now:
+                yield from cell.found()
+                now, cell = number[a], Cell(k)
+            (cell.add_candidates if side[a] else cell.add_queries)(ids[a:b], batch.column(3).slice(a, b - a))
+    yield from cell.found()
 
 
 def _merged(batches, k: int):
@@ -147,24 +199,29 @@ def nearest(vectors: DataFrame, queries: str, k: int = NEIGHBOURS, id_col: str =
     """query_id, rank (from 1), vec_id, score: for the rows that meet the SQL condition `queries` on their `id`, the k
     rows of largest inner product with other ids, ties to smaller ids; all, if there are fewer.
 
-    Queries and candidates are dealt into blocks; a cell of the grid joins a block of either. Vectors null, zero or
-    holding null or non-finite components take no part, nor do null ids; rows that repeat an id count once; vectors
-    are compared with those of as many components only. Other columns are ignored.
+    Queries are dealt into blocks and candidates into strips; a cell of the grid leads a strip past a block. Vectors null,
+    zero or holding null or non-finite components take no part, nor do null ids; of rows that repeat an id the least
+    vector, component by component, counts; vectors are compared with those of as many components only. An empty table
+    gives none. Other columns are ignored.
     """
+    spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).filter("id is not null")
-    n, asked = vectors.select(F.col(id_col).alias("id")).select(F.count(F.lit(1)), F.count_if(F.expr(queries))).first()
-    blocks = max(math.ceil(n / CANDIDATE_ROWS), min(LEAST_BLOCKS, math.ceil(n / 256)), 1)
-    query_blocks = max(1, math.ceil(asked / QUERY_ROWS))
+    n, distinct, asked, width = rows.select(F.count(F.lit(1)), F.count_distinct("id"), F.count_if(F.expr(queries)), F.max(F.size("v"))).first()
+    if distinct < n:
+        rows = written(rows.groupBy("id").agg(F.min("v").alias("v")))
+    held = max(1, min(QUERY_ROWS, QUERY_BYTES // (12 * max(1, width or 1))))
+    blocks = max(1, math.ceil(asked / held))
+    strips = max(1, math.ceil(n / STRIP_ROWS), min(math.ceil(LEAST_CELLS / blocks), math.ceil(n / LEAST_ROWS)))
 
     def every(count: int):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    left = rows.filter(queries).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))).withColumn("c", every(blocks))
-    right = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("q", every(query_blocks))
-    cell = (F.col("c") * query_blocks + F.col("q")).cast("long").alias("cell")
-    width = max(shuffle_partitions(vectors.sparkSession), min(blocks * query_blocks, 1 << 14))
-    left, right = (side.select(cell, "id", "v").repartition(width, "cell") for side in (left, right))
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(lambda key, a, b: _cell(key, a, b, k), FOUND)
+    left = rows.filter(queries).select("id", "v", F.lit(0).alias("side"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("q"), every(strips).alias("c"))
+    right = rows.select("id", "v", F.lit(1).alias("side"), every(blocks).alias("q"), F.pmod(F.xxhash64("id"), F.lit(strips)).alias("c"))
+    cell = (F.col("c") * blocks + F.col("q")).cast("long").alias("cell")
+    parts = max(shuffle_partitions(spark), min(blocks * strips, 1 << 15))
+    dealt = left.unionByName(right).select(cell, "side", "id", "v").repartition(parts, "cell").sortWithinPartitions("cell", "side", "id")
+    found = dealt.mapInArrow(partial(_cells, k=k), FOUND)
     merged = found.repartition("query_id").sortWithinPartitions("query_id")
     return merged.mapInPandas(lambda batches: _merged(batches, k), "query_id bigint, rank int, vec_id bigint, score double")
 
