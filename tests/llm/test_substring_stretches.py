@@ -20,18 +20,18 @@ def test_stretches_cover_repeats():
     for _ in range(300):
         parts = [f"{rng.random()} " * rng.randrange(1, 5) for _ in range(rng.randrange(2, 9))]
         parts = [p.strip() for p in parts]
-        seen = {u for _, _, u in sd.units("\n".join(parts))}
+        seen = {u for _, _, u in sd.units("\n".join(parts), 5, 8)}
         text = "a\nb c\n" + "\n".join(parts) + "\nd e f\ng"
         gone = bytearray(len(text))
-        for a, b, u in sd.units(text):
+        for a, b, u in sd.units(text, 5, 8):
             if u in seen:
                 gone[a:b] = b"\1" * (b - a)
-        enough = sum(len(p.split()) for p in parts) >= sd.LINE_WORDS
+        enough = sum(len(p.split()) for p in parts) >= 5
         assert all(gone[text.index(p)] == enough for p in parts)
 
 
 def test_short_sentences():
     tail = "I came here. I saw it all. I won it. And then?"
     a, b = (f"{start} {tail}" for start in ("One begins in some way with very many words.", "Another one begins with as many other words."))
-    seen = {u for _, _, u in sd.units(a)}
-    assert {i for s, e, u in sd.units(b) if u in seen for i in range(s, e)} == set(range(b.index(tail), len(b)))
+    seen = {u for _, _, u in sd.units(a, 5, 8)}
+    assert {i for s, e, u in sd.units(b, 5, 8) if u in seen for i in range(s, e)} == set(range(b.index(tail), len(b)))

@@ -79,13 +79,17 @@ def written(df: DataFrame, lasting: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """`df` written; shuffle files that only older steps needed are let go now, not when the driver happens to collect
-    its garbage."""
-    out = written(df)
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets go of shuffle files that only older steps needed, now and not when the driver happens to collect its garbage."""
     gc.collect()
-    if jvm := getattr(df.sparkSession, "_jvm", None):
+    if jvm := getattr(spark, "_jvm", None):
         jvm.System.gc()
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """`df` written, and what only older steps needed let go."""
+    out = written(df)
+    collect_garbage(df.sparkSession)
     return out
 
 

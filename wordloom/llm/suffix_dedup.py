@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import uuid
@@ -11,10 +10,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import join_counted, shared_folder, shuffle_partitions, table, written
+from wordloom.llm.common import collect_garbage, delete_path, join_counted, shared_folder, shuffle_partitions, table, tidy, undone_by, written
 
 #: Bytes of a string whose repeats are removed.
 MINIMUM = 100
@@ -80,7 +79,7 @@ def _item_digests(batches):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = (text.as_py() or "").encode()
             for k, (a, b) in enumerate(items(raw)):
-                packed.append(key << ORD_BITS | k)
+                packed.append(within(key, k))
                 digests.append(hashlib.blake2b(raw[a:b], digest_size=16).digest())
         h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(packed, pa.int64())], names=["h1", "h2", "place"])
@@ -310,12 +309,21 @@ def _removed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
-def _tidy(df: DataFrame) -> DataFrame:
-    """`df` written; shuffle files that only older steps needed are let go."""
-    out = written(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+def within(key: int, k: int) -> int:
+    """The place of a document's item k, in the order of documents and then of items."""
+    if k >> ORD_BITS:
+        raise ValueError(f"a document has more than {1 << ORD_BITS} items")
+    return key << ORD_BITS | k
+
+
+def numbered(docs: DataFrame, order: list) -> DataFrame:
+    """`docs` with key, the rank of each row from 0 by `order`: within ranges of the order and by the ranges' sizes, so
+    that no task has all rows."""
+    ranged = written(docs.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("_before"))
+    nth = F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33)  # monotonically_increasing_id: the partition above 33 bits
+    return ranged.join(F.broadcast(before), "_part").withColumn("key", nth + F.col("_before")).drop("_part", "_row", "_before")
 
 
 def keyed_documents(docs: DataFrame) -> DataFrame:
@@ -329,15 +337,12 @@ def keyed_documents(docs: DataFrame) -> DataFrame:
     if n == distinct and (n == 0 or high - low < 1 << FIRST_KEY_BITS):
         keyed = docs.withColumn("key", F.col("doc_id") - F.lit(low or 0))
     else:
-        numbered = written(docs.withColumn("row", F.monotonically_increasing_id()))
-        ranked = numbered.select("row", "doc_id", F.xxhash64("text").alias("x")).orderBy(F.col("doc_id").asc_nulls_first(), "x", "row").select("row")
-        ranks = spark.createDataFrame(ranked.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), "row bigint, key bigint")
-        keyed = numbered.join(ranks, "row").select("doc_id", "text", "key")
+        keyed = numbered(docs, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc()]).select("doc_id", "text", "key")
     buckets, name = shuffle_partitions(spark), f"wordloom_{uuid.uuid4().hex}"
-    keyed = keyed.repartition(buckets, "key")
-    keyed.write.bucketBy(buckets, "key").format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path = f"{shared_folder(spark)}/{name}"
+    keyed.repartition(buckets, "key").write.bucketBy(buckets, "key").format("parquet").option("path", path).saveAsTable(name)
+    undone_by(lambda: (spark.sql(f"DROP TABLE IF EXISTS {name}"), delete_path(spark, path)))
+    collect_garbage(spark)
     return spark.table(name)
 
 
@@ -362,12 +367,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     firsts = digests.groupBy("h1", "h2").agg(F.min("place").alias("place")).select(
         F.shiftright("place", ORD_BITS).alias("key"), F.col("place").bitwiseAND(F.lit(mask)).cast("int").alias("item")
     )
-    firsts = _tidy(firsts.groupBy("key").agg(F.collect_list("item").alias("firsts")))
+    firsts = tidy(firsts.groupBy("key").agg(F.collect_list("item").alias("firsts")))
 
-    anchors = _tidy(texts.join(firsts, "key").select("key", "text", "firsts").mapInArrow(_anchors, "h bigint, key bigint, lo int, form int"))
+    anchors = tidy(texts.join(firsts, "key").select("key", "text", "firsts").mapInArrow(_anchors, "h bigint, key bigint, lo int, form int"))
     total = anchors.count()
-    often = _tidy(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    again = _tidy(join_counted(anchors, often, "h", "n", total))
+    often = tidy(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    again = tidy(join_counted(anchors, often, "h", "n", total))
     most, size = again.agg(F.max("n"), F.sum(F.shiftright("form", 7) + F.lit(MINIMUM + 1))).first()
     hot = F.col("n") > MOST_CONTEXTS
     per_key = F.collect_list(F.struct("h", "lo", "form")).alias("found")
@@ -379,14 +384,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     shards = max(1, math.ceil((size or 0) / SHARD_BYTES))
     dealt = contexts(again.filter(~hot)).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     repeats = dealt.repartition(max(shuffle_partitions(spark), min(shards, 1 << 15)), "shard").groupBy("shard").applyInPandas(_shard_repeats, "key bigint, start int, stop int")
-    repeats = _tidy(repeats.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("repeats")))
+    repeats = tidy(repeats.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("repeats")))
 
     marked = texts.join(firsts, "key", "left").join(repeats, "key", "left")
     if (most or 0) > MOST_CONTEXTS:
         windows = contexts(again.filter(hot)).mapInArrow(_window_digests, "h1 bigint, h2 bigint, key bigint, start int")
         first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "start")).alias("f")).groupBy("f.key").agg(F.collect_list("f.start").alias("hot_firsts"))
         spans = again.filter(hot).groupBy("key").agg(F.collect_list(F.struct("lo", "form")).alias("hot"))
-        marked = marked.join(_tidy(spans), "key", "left").join(_tidy(first), "key", "left")
+        marked = marked.join(tidy(spans), "key", "left").join(tidy(first), "key", "left")
     else:
         marked = marked.withColumns({"hot": F.expr("cast(null as array<struct<lo:int,form:int>>)"), "hot_firsts": F.expr("cast(null as array<int>)")})
     return marked.select("doc_id", "text", "firsts", "repeats", "hot", "hot_firsts").mapInArrow(
