@@ -26,3 +26,23 @@ def test_scope_deletes_its_tables(spark):
     assert kept.count() == 3 and lasting.count() == 5
     with pytest.raises(Exception):
         gone.count()
+
+
+@pytest.mark.parametrize("bits", [common.FILTER_BITS, 1 << 15])
+def test_split_by_suspicion(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    ids = [*range(3000), None, -7, 5]
+    docs = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, filter_map string")
+    suspects = {*range(0, 3000, 9), None}
+    sure, unsure = common.split_by_suspicion(docs, "doc_id", spark.createDataFrame([(i,) for i in suspects], "id bigint"))
+    assert sure.columns == unsure.columns == docs.columns
+    sure, unsure = ([r.doc_id for r in part.collect()] for part in (sure, unsure))
+    assert sorted(map(str, sure + unsure)) == sorted(map(str, ids))
+    assert not suspects & set(sure) and len(unsure) < (360 if bits > 1 << 15 else 1000)
+
+
+def test_keep_one_each(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d"), (None, "e"), (None, "f"), (4, "g")], "doc_id bigint, kept_nth string")
+    got = common.keep_one_each(docs, spark.createDataFrame([(1,), (2,), (None,)], "id bigint")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "None"]
+    assert common.keep_one_each(docs, spark.createDataFrame([], "id bigint")).collect() == []

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -141,3 +141,42 @@ def hashed_sample(df: DataFrame, column: str, rows: int, most: int) -> DataFrame
     share = 0.95 * most / rows
     low = F.lit(int(share * 2.0**64) - 2**63)
     return df.filter(F.xxhash64(F.col(column), F.lit(1)) < low).limit(most)
+
+
+#: Bits of the filter that tells rows apart which need a closer look: 4 MB, however many ids there are. With very many ids
+#: it lets more rows through than need be, up to all.
+FILTER_BITS, MAP_BITS = 1 << 25, 1 << 15
+
+
+def split_by_suspicion(docs: DataFrame, id_col: str, suspects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` in two parts: rows whose id is surely not among `suspects` (a column `id`), and the rest, among them all of its
+    rows. Nothing of `docs` is shuffled: a bitmap of fixed size over the hashed ids is joined by broadcast."""
+    bucket, bits = unused(docs, "filter_map"), unused(docs, "filter_bits")
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    bit = F.col("place") % MAP_BITS
+    maps = suspects.select(place(F.col("id")).alias("place")).groupBy(F.expr(f"place div {MAP_BITS}").alias(bucket)).agg(F.bitmap_construct_agg(bit).alias(bits))
+    marked = docs.withColumn(bucket, F.floor(place(F.col(id_col)) / MAP_BITS).cast("bigint")).join(F.broadcast(written(maps)), bucket, "left")
+    at = place(F.col(id_col)) % MAP_BITS
+    byte = F.conv(F.hex(F.expr(f"substring(`{bits}`, cast(pmod(xxhash64(`{id_col}`), {FILTER_BITS}L) % {MAP_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8).cast("int") + 1)) != 0, F.lit(False))
+    return tuple(marked.filter(test).select(*[F.col(f"`{c}`") for c in docs.columns]) for test in (~hit, hit))
+
+
+def keep_one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """`docs` with one row for each id of `kept` (a column `id` without repeats, null among them if it is to be kept);
+    columns as they were, whatever their names. Of rows that repeat an id, the one whose values hash lowest stays.
+
+    Rows whose ids are kept and don't repeat, most of them as a rule, are not moved.
+    """
+    counts = docs.select(F.col("doc_id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    both = counts.join(kept.select(F.col("id").alias("kept_id"), F.lit(True).alias("is_kept")), F.col("id").eqNullSafe(F.col("kept_id")), "left")
+    suspects = written(both.filter("is_kept is null or n > 1").select("id", "is_kept"))
+    sure, unsure = split_by_suspicion(docs, "doc_id", suspects)
+    name, nth = unused(docs, "dropped_id"), unused(docs, "kept_nth")
+    dropped = suspects.filter("is_kept is null").select(F.col("id").alias(name))
+    left = unsure.join(dropped, unsure["doc_id"].eqNullSafe(dropped[name]), "left_anti")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return sure.unionByName(left.withColumn(nth, order).filter(F.col(nth) == 1).drop(nth))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import join_counted, lower_ascii, shuffle_partitions, table, unused, written
+from wordloom.llm.common import join_counted, lower_ascii, shuffle_partitions, split_by_suspicion, table, unused, written
 
 #: Digest bits settled by one round of exchanges: runs of 2**BITS nodes are merged at a time.
 BITS = 3
@@ -171,13 +171,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     """`docs` without exact copies; columns as they were, whatever their names. Rows that are alike in id and text count
-    as copies: of those the one whose values hash lowest stays. Null texts are copies of empty ones."""
+    as copies: of those the one whose values hash lowest stays. Null texts are copies of empty ones. Rows whose ids
+    don't repeat and are kept, most of them as a rule, are not moved."""
+    found = written(exact_dedup(docs, keep=keep))
+    suspects = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("all_kept")).filter("n > 1 or not all_kept").select(F.col("doc_id").alias("id"))
+    sure, unsure = split_by_suspicion(docs, "doc_id", suspects)
     sha, nth = unused(docs, "kept_sha"), unused(docs, "kept_nth")
-    found = exact_dedup(docs, keep=keep).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("found_sha"))
-    marked = docs.withColumn(sha, F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
-    both = marked.join(found, marked["doc_id"].eqNullSafe(found["kept_id"]) & (marked[sha] == found["found_sha"]), "left_semi")
+    stays = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("found_sha"))
+    marked = unsure.withColumn(sha, F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
+    both = marked.join(stays, marked["doc_id"].eqNullSafe(stays["kept_id"]) & (marked[sha] == stays["found_sha"]), "left_semi")
     order = F.row_number().over(Window.partitionBy(sha, "doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return both.withColumn(nth, order).filter(F.col(nth) == 1).drop(nth, sha)
+    return sure.unionByName(both.withColumn(nth, order).filter(F.col(nth) == 1).drop(nth, sha))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import join_counted, shuffle_partitions, written
+from wordloom.llm.common import join_counted, keep_one_each, shuffle_partitions, split_by_suspicion, written
 from wordloom.llm.components import components
-from wordloom.llm.simhash import one_of_each
+from wordloom.llm.simhash import leading_ids
 
 #: Words of a shingle, and the least Jaccard similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -64,8 +65,8 @@ def _sketches(batches, shingle: int):
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
         found = [bands(s) for s in sets]
         keys = [np.array(k, np.uint64).view(np.int64) for k, _ in found]
-        columns = [batch.column(0), batch.column(1), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array([b for _, b in found], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "node", "keys", "sketch"])
+        columns = [batch.column(0), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array([b for _, b in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "keys", "sketch"])
 
 
 def _promising(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -98,6 +99,15 @@ def further_pairs(placed: DataFrame, width: int) -> DataFrame:
     return tiles.repartition(width, "key", "low", "high").groupBy("key", "low", "high").applyInPandas(_promising, "a bigint, b bigint").distinct()
 
 
+def _of_node(batches, shingle: int):
+    """Rows (node, text) whose text has the node's shingle set: an id that repeats can have others."""
+    import xxhash
+
+    for batch in batches:
+        own = [xxhash.xxh64_intdigest(shingle_set(t.as_py(), shingle).tobytes(), 7) for t in batch.column(1)]
+        yield batch.filter(pc.equal(batch.column(0), pa.array(np.array(own, np.uint64).view(np.int64))))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -118,39 +128,53 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(partial(_alike, shingle=shingle, least=least), "a bigint, b bigint, alike boolean"))
 
 
-def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, among: DataFrame | None = None) -> DataFrame:
     """One row per row of `docs`: id, component_id, the smallest id that can be reached over texts of whose word shingles
-    they share `least` or more (Jaccard).
+    they share `least` or more (Jaccard). among: the ids (a column `id`) that are looked at; all others are left out.
 
-    Rows of one shingle set are one node; rows without words are one as well. Of the nodes that share a band, first each
-    is compared with the band's least node. Where this leaves a band's nodes in several components, their signatures are
-    compared in tiles (further_pairs), and what agrees in much is compared as well. Only texts of nodes that meet another
-    are moved. Null ids lose against any other; repeated rows get a row each; an empty table gives none.
+    Rows of one shingle set are one node; rows without words are one as well. A node is first compared with the least
+    node of all its bands', then with the least node of each band that is still in another component. Where this leaves
+    a band's nodes in several components, their signatures are compared in tiles (further_pairs), and what agrees in
+    much is compared as well. Only texts of nodes that meet another are moved, one of each. Null ids lose against any
+    other; repeated rows get a row each; an empty table gives none.
     """
-    rows = written(docs.select(id_col, text_col).mapInArrow(partial(_sketches, shingle=shingle), "id bigint, text string, node bigint, keys array<bigint>, sketch binary"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_sketches, shingle=shingle), "id bigint, node bigint, keys array<bigint>, sketch binary")
+    rows = written(rows if among is None else rows.join(among.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_semi"))
     nodes = written(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("members"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     met = nodes.select("node", F.explode("keys").alias("key"))
     total = nodes.count() * BANDS
     shared = met.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = written(join_counted(met, shared, "key", "n", total))
-    texts = written(rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    pairs = written(met.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    first = _checked(pairs, texts, shingle, least)
-    links = first.filter("alike").select("a", "b")
-    roots = components(links)
-    placed = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    placed = written(placed.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
-    more = further_pairs(placed, shuffle_partitions(docs.sparkSession)).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _checked(written(more), texts, shingle, least)
-    roots = components(links.unionByName(second.filter("alike").select("a", "b")))
+    met = written(join_counted(met, shared, "key", "n", total).select("key", "node", "pivot"))
+    texts = written(_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "least_id")))
+    seen = _checked(written(met.groupBy("node").agg(F.min("pivot").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")), texts, shingle, least)
+    for again in (True, False):
+        roots = written(components(seen.filter("alike").select("a", "b")))
+        placed = met.join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
+        if again:  # the other bands' least nodes
+            of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+            more = placed.join(of_pivot, "pivot", "left").filter("root <> coalesce(pivot_root, pivot)").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        else:  # whatever is left apart
+            apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+            left = written(placed.select("key", "node", "root").join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
+            more = further_pairs(left, shuffle_partitions(docs.sparkSession))
+        more = more.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        seen = seen.unionByName(_checked(written(more), texts, shingle, least))
+    roots = components(seen.filter("alike").select("a", "b"))
     placed = written(nodes.select("node", "least_id", "members").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     of_root = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_node = join_counted(placed, of_root, "root", "n", nodes.count()).select("node", "members", "component_id")
     return join_counted(rows.select("id", "node"), of_node, "node", "members", rows.count()).select(F.col("id").alias(id_col), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes `wanted` (node, least_id), from any row of docs (id, text) that has that id and set; rows
+    of other ids, most of them as a rule, are not moved."""
+    _, close = split_by_suspicion(docs, "id", wanted.select(F.col("least_id").alias("id")))
+    found = close.join(wanted, close["id"].eqNullSafe(wanted["least_id"])).select("node", "text")
+    return found.mapInArrow(partial(_of_node, shingle=shingle), "node bigint, text string").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def drop_near_copies(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """`docs` with one row of each component, that of its component_id; columns as they were. Of rows that repeat that id
-    one stays; rows without words are copies of each other; an empty table gives none."""
-    return one_of_each(docs, shingle_components(docs))
+    one stays; rows without words are copies of each other; an empty table gives none. among: see shingle_components."""
+    return keep_one_each(docs, written(leading_ids(shingle_components(docs, among=among))))

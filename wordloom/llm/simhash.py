@@ -8,10 +8,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import hashed_sample, join_counted, shuffle_partitions, table, unused, written
+from wordloom.llm.common import hashed_sample, join_counted, keep_one_each, shuffle_partitions, table, written
 from wordloom.llm.components import components
 
 #: Fingerprints link at so many differing bits or fewer.
@@ -312,16 +312,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def one_of_each(docs: DataFrame, components_: DataFrame) -> DataFrame:
-    """`docs` with one row of each component (doc_id, component_id), one of its component_id; columns as they were.
-
-    Of rows that repeat that id, the one whose values hash lowest stays.
-    """
-    kept, nth = unused(docs, "kept_id"), unused(docs, "kept_nth")
-    found = components_.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found[kept]), "left_semi")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return both.withColumn(nth, order).filter(F.col(nth) == 1).drop(nth)
+def leading_ids(components_: DataFrame) -> DataFrame:
+    """The ids (a column `id`) that lead their components, of (doc_id, component_id)."""
+    return components_.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -330,7 +323,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows without words are one component. Rows of null ids stay if their component has no other ids; of those and of
     rows that repeat an id, one stays. An empty table gives none.
     """
-    return one_of_each(docs, near_dedup(docs))
+    return keep_one_each(docs, written(leading_ids(near_dedup(docs))))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
