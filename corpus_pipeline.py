@@ -37,7 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     similarity of 0.8 or more. Texts without words are copies of each other; a null id loses against any other; of rows
     that repeat an id one stays; an empty table gives none. Columns are as they were.
     """
-    return shingle_dedup.drop_near_copies(written(simhash.drop_near_copies(docs)))
+    first = written(simhash.leading_ids(simhash.near_dedup(docs)))
+    return shingle_dedup.drop_near_copies(docs, among=first)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
