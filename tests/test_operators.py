@@ -211,14 +211,63 @@ def test_focus_spans(spark):
 
 
 def test_conflicts():
-    start, end, source = [0.0, 0.7, 0.8], [0.4, 0.2, 1.2], ["mfa_x"] * 3
-    fallen, moved = M.settle_conflicts(start, end, source, [0.0, 0.4, 0.8], [0.4, 0.8, 1.2])
-    assert (fallen, moved) == ({1}, 0) and source[1].endswith("conflict_fallback") and (start[1], end[1]) == (0.4, 0.8)
-    start, end, source = [0.0, 0.3], [0.5, 0.9], ["mfa_x", "other"]
-    assert M.settle_conflicts(start, end, source, [0, 0.4], [0.4, 1]) == (set(), 1)
-    assert end[0] == start[1] == 0.4 and source == [M.ADJUSTED, "other"]
+    at, fate, moved = M.settle_conflicts(np.array([[0.0, 0.4], [0.7, 0.2], [0.8, 1.2]]), np.array([[0.0, 0.4], [0.4, 0.8], [0.8, 1.2]]))
+    assert (fate.tolist(), moved, at[1].tolist()) == ([M.OWN, M.FELL, M.OWN], 0, [0.4, 0.8])
+    at, fate, moved = M.settle_conflicts(np.array([[0.0, 0.5], [0.3, 0.9]]), np.array([[0, 0.4], [0.4, 1]]))
+    assert (fate.tolist(), moved) == ([M.MOVED, M.MOVED], 1) and at[0, 1] == at[1, 0] == 0.4
     with pytest.raises(ValueError):
-        M.settle_conflicts([1.0], [0.0], ["a"], [1.0], [0.0])
+        M.settle_conflicts(np.array([[1.0, 0.0]]), np.array([[1.0, 0.0]]))
+
+
+def rounds_over_all(own, safe):
+    """The rule told plainly: every round looks at every word and every boundary."""
+    at, fell, adjusted, moved = [list(x) for x in own], set(), set(), 0
+
+    def fall(which):
+        for i in which:
+            at[i] = list(safe[i])
+            fell.add(i)
+
+    for _ in own:
+        back = [i for i, (a, b) in enumerate(at) if b < a]
+        fall(back)
+        both, shifts = set(), 0
+        for i in range(len(at) - 1):
+            if at[i][1] > at[i + 1][0]:
+                if at[i][0] <= at[i + 1][1]:
+                    at[i][1] = at[i + 1][0] = round(min(max((at[i][1] + at[i + 1][0]) / 2, at[i][0]), at[i + 1][1]), 3)
+                    shifts += 1
+                    adjusted |= {i, i + 1}
+                else:
+                    both |= {i, i + 1}
+        fall(both)
+        moved += shifts
+        if not (back or both or shifts):
+            return at, fell, adjusted - fell, moved
+    for _ in range(len(own) + 1):
+        bad = {i for i, (a, b) in enumerate(at) if b < a} | {k for i in range(len(at) - 1) if at[i][1] > at[i + 1][0] for k in (i, i + 1)}
+        if not bad:
+            return at, fell, adjusted - fell, moved
+        fall(bad)
+    raise AssertionError
+
+
+def test_conflicts_against_rounds_over_all():
+    rng, seen = random.Random(8), [0, 0]
+    for _ in range(400):
+        n = rng.randrange(1, 14)
+        cuts = sorted(rng.randrange(0, 60) / 4 for _ in range(2 * n))
+        safe = [cuts[2 * i : 2 * i + 2] for i in range(n)]
+        own = [[a + rng.choice([0, 0, 0, 3, -2.5, 9]), b + rng.choice([0, 0, 0, 4, -3, -8])] for a, b in safe]
+        at, fell, adjusted, moved = rounds_over_all(own, safe)
+        got, fate, count = M.settle_conflicts(np.array(own), np.array(safe))
+        assert got.tolist() == at and count == moved
+        assert {i for i in range(n) if fate[i] == M.FELL} == fell and {i for i in range(n) if fate[i] == M.MOVED} == adjusted
+        again, _, more = M.settle_conflicts(got, np.array(safe))  # what is settled stays as it is
+        assert again.tolist() == at and more == 0
+        seen[0] += len(fell)
+        seen[1] += moved
+    assert min(seen) > 200
 
 
 def test_isotonic_against_minimax():

@@ -7,27 +7,54 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Python's str.split sees it: \s of Java misses the Unicode separators.
 BLANKS = r"[\s\p{Z}\x85\x1c-\x1f]+"
 
 
+#: Text on which NFKC changes nothing and lower-casing, with ss for ß, is case folding: ASCII, most Latin letters of Europe,
+#: Cyrillic, Han and kana. Everything else goes through Python's tables.
+PLAIN = r"^[\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u045F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF]*$"
+
+
 def lowered(text: Column) -> Column:
-    """Case folded, as far as plain lower-casing and ß go."""
+    """Case folded, for PLAIN text."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def _by_table(text: Column, plain: Column, table) -> Column:
+    """`plain` where the text is PLAIN; elsewhere what the Python function makes of it: it is given nothing else."""
+    easy = text.rlike(PLAIN)
+    return F.when(easy, plain).otherwise(table(F.when(~easy, text)))
+
+
+def folded(text: Column) -> Column:
+    """Case folded."""
+    return _by_table(text, lowered(text), _casefolded)
+
+
 def normalize_word(word: Column) -> Column:
-    """Folded, apostrophes, letters and digits only (F1, F2), for text that NFKC leaves as it is."""
-    return F.regexp_replace(lowered(word), r"[^'\p{L}\p{N}]", "")
+    """NFKC, folded, apostrophes, letters and digits only (F1, F2)."""
+    return _by_table(word, F.regexp_replace(lowered(word), r"[^'\p{L}\p{N}]", ""), normalize_word_nfkc)
 
 
-def clean_word(word: Column) -> Column:
-    """Apostrophes, letters and digits, case kept (F3), for text that NFKC leaves as it is."""
+def plain_clean_word(word: Column) -> Column:
+    """clean_word for PLAIN text."""
     return F.regexp_replace(word, r"[^'\p{L}\p{N}]", "")
 
 
+def clean_word(word: Column) -> Column:
+    """NFKC, apostrophes, letters and digits, case kept."""
+    return _by_table(word, plain_clean_word(word), clean_word_nfkc)
+
+
+def clean_words(line: Column) -> Column:
+    """clean_word of every token of a line, as an array: where the line is PLAIN no token leaves the JVM."""
+    easy, words = line.rlike(PLAIN), tokens(line)
+    return F.when(easy, F.transform(words, plain_clean_word)).otherwise(_clean_words_nfkc(F.when(~easy, words)))
+
+
 def _kept(text: str) -> str:
     return "".join(c for c in text if c == "'" or unicodedata.category(c)[0] in "LN")
 
@@ -50,14 +77,34 @@ def join_key_nfkc(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else _kept(unicodedata.normalize("NFKC", w)).casefold())
 
 
+@F.pandas_udf(StringType())
+def _casefolded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else t.casefold())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _clean_words_nfkc(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda words: None if words is None else [_kept(unicodedata.normalize("NFKC", w)) for w in words])
+
+
+def folded_key(word: Column) -> Column:
+    """Word characters and apostrophes, underscores too, of what is folded already."""
+    return F.regexp_replace(word, r"[^\p{L}\p{N}_']", "")
+
+
 def stitch_key(word: Column) -> Column:
     """Folded, word characters and apostrophes, underscores too."""
-    return F.regexp_replace(lowered(word), r"[^\p{L}\p{N}_']", "")
+    return folded_key(folded(word))
+
+
+def stitch_keys(text: Column) -> Column:
+    """The join keys of a text's tokens; folding leaves white space as it is."""
+    return F.transform(tokens(folded(text)), folded_key)
 
 
 def quality_tokens(text: Column) -> Column:
     """Words with at most one inner apostrophe."""
-    return F.regexp_extract_all(lowered(text), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -92,16 +139,18 @@ def is_sentence_boundary(word: Column, next_word: Column) -> Column:
 
 def slugify(text: Column, fallback: str = "podcast", limit: int = 72) -> Column:
     """Lower-case ASCII words joined by hyphens, cut to `limit`."""
-    ascii_only = F.regexp_replace(lowered(text), r"[^\x00-\x7f]", "")
+    ascii_only = F.regexp_replace(folded(text), r"[^\x00-\x7f]", "")
     slug = F.regexp_replace(F.regexp_replace(ascii_only, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(F.regexp_replace(F.substring(slug, 1, limit), "-+$", ""), F.lit("")), F.lit(fallback))
 
 
+# Fixed value: the form of a job's name.
 def is_job_id(text: Column) -> Column:
     """(F12)"""
     return text.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & ~text.contains("\n")
 
 
+# What is hidden, in this order, and the marks left in its place.
 def redact(text: Column, limit: int = 1000) -> Column:
     """Queries of URLs, access tokens, Windows paths and POSIX paths hidden, in this order (F13, F14 with limit 240)."""
     text = F.substring(text, 1, limit)

@@ -218,7 +218,7 @@ def window_word_times(windows: DataFrame, order: str = "window_index") -> DataFr
     start depends on what came before, so a document goes to one Python group."""
     kind = dict(windows.dtypes)["doc_id"]
     words = T.tokens(F.col("text"))
-    keyed = windows.filter(F.size(words) > 0).select("doc_id", F.col(order).cast("bigint").alias("o"), F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"), words.alias("words"), F.transform(words, T.stitch_key).alias("keys"))
+    keyed = windows.filter(F.size(words) > 0).select("doc_id", F.col(order).cast("bigint").alias("o"), F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"), words.alias("words"), T.stitch_keys(F.col("text")).alias("keys"))
 
     def spread(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o")
@@ -295,6 +295,23 @@ def bisected(segments: DataFrame) -> DataFrame:
     return out.withColumns({"segment_id": F.concat_ws(".", "segment_id", F.col("h.k").cast("string")), "word_start": F.col("h.a"), "word_end": F.col("h.b")}).drop("h")
 
 
+def bisect_until(segments: DataFrame, fails, most_words: int) -> DataFrame:
+    """Segments halved as long as they fail (G7, X7), with `mode`: exact, or fallback for single words that fail.
+
+    fails: a function that adds a boolean column `failed` to segments; most_words: words of the longest segment. A
+    segment of n words is halved ceil(log2(n)) times at most, so that many rounds make the plan; ids end in the path.
+    """
+    todo, done = segments, []
+    for _ in range(max(1, most_words - 1).bit_length() + 1):
+        tried = fails(todo)
+        done.append(tried.filter(~F.col("failed") | (F.col("word_end") - F.col("word_start") <= 1)))
+        todo = bisected(tried.filter("failed").drop("failed"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("mode", F.when(F.col("failed"), "fallback").otherwise("exact")).drop("failed")
+
+
 def has_descendants(segments: DataFrame, done: DataFrame) -> DataFrame:
     """Segments of which any descendant (id + ".…") is done (G7); ancestors are unrolled, so the join is by equality."""
     parts = F.split("segment_id", r"\.")
@@ -307,3 +324,20 @@ def retry_windows(windows: DataFrame, overlap: float = 1.5) -> DataFrame:
     middle = (F.col("start") + F.col("end")) / 2
     halves = F.array(F.struct(F.lit(0).alias("half"), F.col("start").alias("s"), F.least("end", middle + overlap).alias("e")), F.struct(F.lit(1).alias("half"), F.greatest("start", middle - overlap).alias("s"), F.col("end").alias("e")))
     return windows.withColumn("h", F.explode(halves)).withColumns({"half": F.col("h.half"), "start": F.col("h.s"), "end": F.col("h.e")}).drop("h")
+
+
+def merged_retries(halves: DataFrame) -> DataFrame:
+    """(doc_id, window_index, text, ok, reasons, accepted_empty) of windows whose halves were transcribed anew (G9):
+    (doc_id, window_index, half, text, duration). The halves are stitched and the gate asked again; a blank window of
+    2.5 s or less passes."""
+    from wordloom.operators.quality import transcript_quality
+    from wordloom.operators.transcripts import stitch
+
+    keys = ("doc_id", "window_index")
+    texts = halves.groupBy(*keys).agg(F.max("duration").alias("duration")).join(stitch(halves, "half", by=keys), list(keys), "left")
+    texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
+    judged = transcript_quality(texts.select(F.struct(*keys).alias("doc_id"), "text", "duration"), F.col("duration")).select("doc_id.*", "ok", "reasons")
+    both = texts.join(judged, list(keys))
+    empty = (F.col("text") == "") & (F.col("duration") <= 2.5)
+    none = F.array().cast("array<string>")
+    return both.select(*keys, "text", (F.col("ok") | empty).alias("ok"), F.when(empty, none).otherwise(F.col("reasons")).alias("reasons"), empty.alias("accepted_empty"))

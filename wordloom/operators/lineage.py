@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.identity import stable_hash
+from wordloom.functions.identity import fingerprint
 
 
 def stage_fingerprints(stages: DataFrame) -> DataFrame:
     """Adds `fingerprint` to stages (name, schema_version, inputs, settings, models) (H3): alike for equal values only."""
-    return stages.withColumn("fingerprint", stable_hash(**{c: F.col(c) for c in ("name", "schema_version", "inputs", "settings", "models")}))
+    return stages.withColumn("fingerprint", fingerprint(stages, "name", "schema_version", "inputs", "settings", "models"))
 
 
 def missing(schedule: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("doc_id", "window_index")) -> DataFrame:
@@ -80,6 +80,43 @@ def run_state(events: DataFrame) -> DataFrame:
     return stages.join(warnings, "job_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
 
 
+# Schema version and states of the documents that runs leave.
+SCHEMA_VERSION = 1
+
+
+def checkpoint_documents(stages: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(job_id, stage, document): the JSON of a finished stage (K6, D14), to be written as it is. stages: (job_id, stage,
+    fingerprint, completed_at, elapsed_seconds); artifacts: (job_id, stage, path, sha256, size_bytes), none of which may
+    lie outside its folder: a stage with such a one has no document."""
+    inside = ~F.col("path").startswith("/") & ~F.array_contains(F.split("path", "/"), "..")
+    listed = artifacts.groupBy("job_id", "stage").agg(F.bool_and(inside).alias("inside"), F.array_sort(F.collect_list(F.struct("path", "sha256", "size_bytes"))).alias("artifacts"))
+    both = stages.join(listed, ["job_id", "stage"], "left").filter(F.coalesce("inside", F.lit(True)))
+    none = F.array().cast("array<struct<path:string,sha256:string,size_bytes:bigint>>")
+    document = F.to_json(F.struct(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), "fingerprint", F.lit("complete").alias("status"), "completed_at", F.round("elapsed_seconds", 3).alias("elapsed_seconds"), F.coalesce("artifacts", none).alias("artifacts"),
+    ))
+    return both.select("job_id", "stage", document.alias("document"))
+
+
+def manifest_documents(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """(job_id, document): the JSON of every run (K6, D13) from (job_id, fingerprint) and its log, as run_state reads it: a run
+    is complete if all its stages are, failed if one has failed, else running."""
+    state = run_state(events)
+    both = runs.join(state, "job_id", "left")
+    stages = F.coalesce("stages", F.map_from_entries(F.array().cast("array<struct<a:string,b:struct<status:string,fingerprint:string>>>")))
+    failed = F.exists(F.map_values(stages), lambda s: s["status"] == "failed")
+    status = F.when(F.coalesce("all_complete", F.lit(False)), "complete").when(failed, "failed").otherwise("running")
+    document = F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "job_id", "fingerprint", status.alias("status"), stages.alias("stages"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")))
+    return both.select("job_id", document.alias("document"))
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """(job_id, line): a run's messages with their UTC stamps, in order, a line each (K9); events: (job_id, seq, at, message)."""
+    line = F.concat(F.lit("["), F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00] "), F.col("message"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
+    return events.groupBy("job_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
 def materialised(spark: SparkSession, root: str, fingerprint: str, build) -> DataFrame:
     """The table of a fingerprint (X1): read where it has been written whole, else built, written and read.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wordloom.functions import text as T
 from wordloom.operators.anchors import fresh
@@ -14,42 +15,57 @@ GRAM = 4
 REPEAT_SIZES = (3, 4, 5, 6)
 
 
-def gate_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, word): the words that the gate counts."""
-    return docs.select("doc_id", F.posexplode(T.quality_tokens(F.col(text_col))).alias("pos", "word"))
+COUNTS = StructType([StructField(c, StringType() if c == "gram" else LongType()) for c in ("n", "distinct", "repeats", "gram", "top")])
 
 
-def _grams(words: DataFrame, n: int) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    gram = F.concat_ws(" ", "word", *[F.lead("word", k).over(order) for k in range(1, n)])
-    return words.select("doc_id", "pos", gram.alias("gram"), F.lead("pos", n - 1).over(order).alias("last")).filter("last is not null").drop("last")
+def _counts(tokens: list[str]) -> tuple[int, int, int | None, str | None, int | None]:
+    """Words, different words, longest run of an n-gram that follows itself at once (n of REPEAT_SIZES), and the most
+    frequent GRAM-gram, the one that came first of equals, with its count; null where there is no n-gram."""
+    codes: dict[str, int] = {}
+    t = np.array([codes.setdefault(w, len(codes)) for w in tokens], np.int64)
+    repeats = None
+    for n in REPEAT_SIZES:
+        if len(t) >= n:
+            # a gram that is followed by itself k times is a stretch of n * k words that equal the ones n further on
+            same = np.concatenate(([0], t[:-n] == t[n:], [0])).astype(np.int8)
+            edges = np.flatnonzero(np.diff(same))
+            longest = int((edges[1::2] - edges[::2]).max(initial=0))
+            repeats = max(repeats or 1, 1 + longest // n)
+    if len(t) < GRAM:
+        return len(t), len(codes), repeats, None, None
+    seen: dict[tuple, int] = {}
+    for gram in zip(*(tokens[k:] for k in range(GRAM)), strict=False):
+        seen[gram] = seen.get(gram, 0) + 1
+    top = max(seen, key=seen.__getitem__)  # of equals the first that was put in
+    return len(t), len(codes), repeats, " ".join(top), seen[top]
+
+
+@F.pandas_udf(COUNTS)
+def _gate_counts(tokens: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_counts([] if t is None else list(t)) for t in tokens], columns=COUNTS.names).astype({"n": "Int64", "distinct": "Int64", "repeats": "Int64", "top": "Int64"})
+
 
+def gate_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n, distinct, repeats, gram and top of the words that the gate counts (F5, A8, A9, A10, L2): a document is
+    counted where it is, nothing is shuffled."""
+    return docs.withColumn("_c", _gate_counts(T.quality_tokens(F.col(text_col)))).select("*", "_c.*").drop("_c")
 
-def dominant_gram(words: DataFrame, n: int = GRAM) -> DataFrame:
-    """(doc_id, gram, count): the most frequent n-gram, the one that came first of equals."""
-    counted = _grams(words, n).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("count"), F.min("pos").alias("first"))
-    return counted.groupBy("doc_id").agg(F.max(F.struct("count", -F.col("first"), "gram")).alias("top")).select("doc_id", F.col("top.gram").alias("gram"), F.col("top.count").alias("count"))
 
+def dominant_gram(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, gram, count): the most frequent 4-gram, the one that came first of equals."""
+    return gate_counts(docs.select("doc_id", text_col), text_col).filter("gram is not null").select("doc_id", "gram", F.col("top").alias("count"))
 
-def consecutive_repeats(words: DataFrame, sizes=REPEAT_SIZES) -> DataFrame:
-    """(doc_id, repeats): the longest run of an n-gram that follows itself at once, of any size given (A10)."""
-    best = None
-    for n in sizes:
-        grams = _grams(words, n).withColumn("phase", F.pmod("pos", F.lit(n)))
-        order = Window.partitionBy("doc_id", "gram", "phase").orderBy("pos")
-        run = F.expr(f"pos div {n}") - F.row_number().over(order)
-        runs = grams.withColumn("run", run).groupBy("doc_id", "gram", "phase", "run").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("repeats"))
-        best = runs if best is None else best.unionByName(runs)
-    return best.groupBy("doc_id").agg(F.max("repeats").alias("repeats"))
+
+def consecutive_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, repeats): the longest run of a 3- to 6-gram that follows itself at once (A10)."""
+    return gate_counts(docs.select("doc_id", text_col), text_col).filter("repeats is not null").select("doc_id", "repeats")
 
 
 def transcript_quality(docs: DataFrame, duration: Column | None = None) -> DataFrame:
     """The gate (P4, A8): counts, shares, reasons against a transcript, and ok if there are none."""
-    words = gate_tokens(docs)
-    n = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("distinct"))
-    base = docs.select("doc_id", (F.lit(None).cast("double") if duration is None else duration.cast("double")).alias("duration"))
-    out = base.join(n, "doc_id", "left").join(consecutive_repeats(words), "doc_id", "left").join(dominant_gram(words).select("doc_id", F.col("count").alias("top")), "doc_id", "left")
-    out = out.withColumns({"n": F.coalesce("n", F.lit(0)), "distinct": F.coalesce("distinct", F.lit(0)), "repeats": F.coalesce("repeats", F.lit(1)), "top": F.coalesce("top", F.lit(0))})
+    limit = F.lit(None).cast("double") if duration is None else duration.cast("double")
+    out = gate_counts(docs.select("doc_id", "text", limit.alias("duration")))
+    out = out.withColumns({"repeats": F.coalesce("repeats", F.lit(1)), "top": F.coalesce("top", F.lit(0))})
     unique = F.col("distinct") / F.greatest("n", F.lit(1))
     reasons = (
         ("too_few_words", F.col("n") < 3),
@@ -89,19 +105,48 @@ def source_counts(words: DataFrame) -> DataFrame:
 # ---- word error rate ----
 
 
-def word_distance(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """pairs with `distance`, the edits between two token arrays.
+def edit_distance(a: list, b: list) -> int:
+    """Edits between two token lists: a column of costs is held as the bits of two whole numbers, of its rises and its
+    falls, so that a token costs a few operations on numbers of as many bits as the longer list has tokens."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places: dict = {}
+    for i, token in enumerate(a):
+        places.setdefault(token, []).append(i)
+    bits = _bits(places, set(b))
+    full, last, up, down, cost = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
+    for token in b:
+        same = bits.get(token, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = down | (full & ~(across | up)), up & across
+        cost += bool(rises & last) - bool(falls & last)
+        rises, falls = (rises << 1 | 1) & full, (falls << 1) & full
+        up, down = falls | (full & ~(level | rises)), rises & level
+    return cost
+
+
+def _bits(places: dict, wanted: set) -> dict:
+    out = {}
+    for token, own in places.items():
+        if token in wanted:
+            raw = bytearray(own[-1] // 8 + 1)
+            for i in own:
+                raw[i >> 3] |= 1 << (i & 7)
+            out[token] = int.from_bytes(raw, "little")
+    return out
+
+
+@F.pandas_udf(LongType())
+def _distances(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else edit_distance(list(a), list(b)) for a, b in zip(left, right, strict=True)], dtype="Int64")
 
-    Each distinct token of a pair becomes one character of a private plane, so that Spark's own edit distance counts
-    tokens. It holds up to 60,000 distinct tokens a pair; align_words has no such limit.
-    """
-    both = F.array_distinct(F.concat(left, right))
 
-    def coded(tokens: Column) -> Column:
-        # code points from 256 on, past the surrogates' gap
-        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(F.col("_both"), t) + F.when(F.array_position(F.col("_both"), t) > 54000, 3344).otherwise(256)), 4, "0")), "UTF-16BE")), "")
-
-    return pairs.withColumn("_both", both).withColumn("distance", F.levenshtein(coded(F.col(left)), coded(F.col(right)))).drop("_both")
+def word_distance(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs with `distance`, the edits between two token arrays (A11), of any length and any number of different tokens."""
+    return pairs.withColumn("distance", _distances(F.col(left), F.col(right)))
 
 
 #: Rows of costs between two that are kept.
@@ -172,16 +217,25 @@ def _alignment(predicted: list[str], gold: list[str]) -> tuple[int, list[tuple[i
 
 def align_words(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """(doc_id, predicted_index, gold_index) of equal words on the best alignment (J3) of (doc_id, index, token)."""
+    found = alignments(predicted, gold).select("doc_id", F.explode("pairs").alias("p"))
+    return found.select("doc_id", F.col("p.a").alias("predicted_index"), F.col("p.b").alias("gold_index"))
+
 
-    def pairs(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def alignments(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(doc_id, distance, pairs) of every document that has words on both sides: edits, and the equal words on the best
+    alignment as structs of both indexes (J3, A11)."""
+
+    def align(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"doc_id": [], "distance": [], "pairs": []})
         left, right = left.sort_values("index"), right.sort_values("index")
-        _, found = _alignment(left["token"].tolist(), right["token"].tolist())
+        distance, found = _alignment(left["token"].tolist(), right["token"].tolist())
         a, b = left["index"].tolist(), right["index"].tolist()
-        return pd.DataFrame({"doc_id": [key[0]] * len(found), "predicted_index": [a[i] for i, _ in found], "gold_index": [b[j] for _, j in found]}, dtype="int64")
+        return pd.DataFrame({"doc_id": [key[0]], "distance": [distance], "pairs": [[{"a": a[i], "b": b[j]} for i, j in found]]})
 
     kind = dict(predicted.dtypes)["doc_id"]
     grouped = fresh(predicted, "doc_id", "index", "token").groupBy("doc_id").cogroup(fresh(gold, "doc_id", "index", "token").groupBy("doc_id"))
-    return grouped.applyInPandas(pairs, f"doc_id {kind}, predicted_index bigint, gold_index bigint")
+    return grouped.applyInPandas(align, f"doc_id {kind}, distance bigint, pairs array<struct<a:bigint,b:bigint>>")
 
 
 def boundary_errors(pairs: DataFrame, predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -202,25 +256,34 @@ def quality_report(predicted: DataFrame, gold: DataFrame, metadata: DataFrame |
     """One row per document (A15, D15): counts, word errors, rate, matched words and boundary errors.
 
     predicted and gold: (doc_id, index, text, start, end); a `clean` form is preferred if predicted has one. metadata:
-    (doc_id, effective_words, coverage), optional. A document needs words on both sides.
+    (doc_id, effective_words, coverage), optional. A document needs words on both sides. `problem` names why a document
+    can't be judged, a word without letters or digits or a bound of a matched word that isn't finite; its errors and
+    rates are null then.
     """
     own = F.coalesce(F.nullif("clean", F.lit("")), "text") if "clean" in predicted.columns else F.col("text")
     p, g = predicted.withColumn("token", T.normalize_word(own)), gold.withColumn("token", T.normalize_word(F.col("text")))
-    pairs = align_words(p, g)
-    errors = median_and_p95(boundary_errors(pairs, predicted, gold), "error").drop("p95_low")
+    aligned = alignments(p, g)
+    pairs = aligned.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", F.col("p.a").alias("predicted_index"), F.col("p.b").alias("gold_index"))
+    raw = boundary_errors(pairs, predicted, gold)
+    unsound = ~F.coalesce(F.abs("error") < F.lit(float("inf")), F.lit(False))
+    errors = median_and_p95(raw, "error").drop("p95_low").join(raw.groupBy("doc_id").agg(F.bool_or(unsound).alias("unsound")), "doc_id")
 
-    def listed(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "token"))), lambda w: w["token"]).alias(name))
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name), F.bool_or(F.coalesce(F.col("token") == "", F.lit(True))).alias(f"{name}_empty"))
 
-    out = word_distance(listed(p, "left").join(listed(g, "right"), "doc_id"), "left", "right")
-    out = out.join(pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched")), "doc_id", "left").join(errors, "doc_id", "left")
+    out = aligned.select("doc_id", "distance", F.size("pairs").cast("bigint").alias("matched")).join(counted(p, "n_p"), "doc_id").join(counted(g, "n_g"), "doc_id").join(errors, "doc_id", "left")
     empty = F.lit(None).cast("double")
     out = out.join(metadata, "doc_id", "left") if metadata is not None else out.withColumns({"effective_words": F.lit(0), "coverage": empty})
-    n_p, n_g = F.size("left"), F.size("right")
+    problem = F.when(F.col("n_p_empty") | F.col("n_g_empty"), "empty token").when(F.coalesce("unsound", F.lit(False)), "bound not finite")
+    out = out.withColumn("problem", problem)
+
+    def judged(value: Column) -> Column:
+        return F.when(F.col("problem").isNull(), value)
+
     effective = F.coalesce("effective_words", F.lit(0))
     return out.select(
-        "doc_id", n_g.alias("reference_word_count"), n_p.alias("predicted_word_count"), F.col("distance").alias("word_errors"),
-        F.round(F.col("distance") / n_g, 6).alias("wer"), F.coalesce("matched", F.lit(0)).alias("timing_matched_words"),
-        F.coalesce("samples", F.lit(0)).alias("boundary_sample_count"), F.round("median", 6).alias("boundary_error_median"), F.round("p95", 6).alias("boundary_error_p95"),
-        effective.alias("effective_words"), F.round(effective / F.greatest(n_p, F.lit(1)), 6).alias("application_rate"), F.col("coverage").cast("double").alias("reported_coverage"),
+        "doc_id", F.col("n_g").alias("reference_word_count"), F.col("n_p").alias("predicted_word_count"), judged(F.col("distance")).alias("word_errors"),
+        judged(F.round(F.col("distance") / F.col("n_g"), 6)).alias("wer"), judged(F.col("matched")).alias("timing_matched_words"),
+        judged(F.coalesce("samples", F.lit(0))).alias("boundary_sample_count"), judged(F.round("median", 6)).alias("boundary_error_median"), judged(F.round("p95", 6)).alias("boundary_error_p95"),
+        effective.alias("effective_words"), F.round(effective / F.greatest("n_p", F.lit(1)), 6).alias("application_rate"), F.col("coverage").cast("double").alias("reported_coverage"), "problem",
     )

@@ -21,8 +21,8 @@ def word_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = lines.filter(F.size(T.tokens(F.col("t"))) > 0)
     in_doc = Window.partitionBy("doc_id")
     lines = lines.withColumn("sentence_index", (F.row_number().over(in_doc.orderBy("line")) - 1).cast("bigint"))
-    words = lines.select("doc_id", "sentence_index", F.posexplode(T.tokens(F.col("t"))).alias("pos", "text"))
-    words = words.withColumn("clean", T.clean_word(F.col("text"))).filter("clean <> ''")
+    both = F.arrays_zip(T.tokens(F.col("t")).alias("text"), T.clean_words(F.col("t")).alias("clean"))
+    words = lines.select("doc_id", "sentence_index", F.posexplode(both).alias("pos", "w")).select("doc_id", "sentence_index", "pos", "w.text", "w.clean").filter("clean <> ''")
     order = in_doc.orderBy("sentence_index", "pos")
     return words.select("doc_id", (F.row_number().over(order) - 1).cast("bigint").alias("index"), "text", "clean", "sentence_index")
 
@@ -79,11 +79,11 @@ def overlap_length(left: Column, right: Column, most: int = 48) -> Column:
     return F.coalesce(F.array_max(F.filter(sizes, lambda k: F.slice(left, -k, k) == F.slice(right, 1, k))), F.lit(0))
 
 
-def stitch(windows: DataFrame, order: str = "window_index", most: int = 48) -> DataFrame:
-    """(doc_id, text): windows joined in order, the repeated start of each dropped (G1)."""
-    keyed = windows.filter(F.size(T.tokens(F.col("text"))) > 0).select("doc_id", order, T.tokens(F.col("text")).alias("words"))
-    keyed = keyed.withColumn("words", F.transform("words", lambda w: F.struct(w.alias("text"), T.stitch_key(w).alias("key"))))
-    parts = keyed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "words"))), lambda x: x["words"]).alias("parts"))
+def stitch(windows: DataFrame, order: str = "window_index", most: int = 48, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, text): windows joined in order, the repeated start of each dropped (G1); by: what they are joined within."""
+    text = F.col("text")
+    keyed = windows.filter(F.size(T.tokens(text)) > 0).select(*by, order, F.transform(F.arrays_zip(T.tokens(text).alias("text"), T.stitch_keys(text).alias("key")), lambda w: F.struct(w["text"].alias("text"), w["key"].alias("key"))).alias("words"))
+    parts = keyed.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "words"))), lambda x: x["words"]).alias("parts"))
     empty = F.array().cast("array<struct<text:string,key:string>>")
 
     def keys(a: Column) -> Column:
@@ -94,7 +94,7 @@ def stitch(windows: DataFrame, order: str = "window_index", most: int = 48) -> D
         return F.concat(done, F.slice(part, overlap_length(keys(F.slice(done, F.greatest(F.size(done) - most, F.lit(0)) + 1, F.lit(most))), keys(part), most) + 1, size))
 
     joined = F.aggregate("parts", empty, add)
-    return parts.select("doc_id", F.array_join(F.transform(joined, lambda w: w["text"]), " ").alias("text"))
+    return parts.select(*by, F.array_join(F.transform(joined, lambda w: w["text"]), " ").alias("text"))
 
 
 def pack_chunks(lines: DataFrame, most: int = 300, order: str = "line", count: str = "words") -> DataFrame:
@@ -134,24 +134,24 @@ def padded_batches(items: DataFrame, most_items: int, most_padded, order: tuple[
 
 
 def split_long(lines: DataFrame, most: int = 70, order: str = "line") -> DataFrame:
-    """Lines of more than `most` words cut (G3): after the last word in the second half that ends with .?!,;: or else at `most`."""
+    """Lines of more than `most` words cut (G3): after the last word in the second half that ends with .?!,;: or else at
+    `most`. The fold carries the place of the last cut, so that a line's words are held once."""
     least = max(20, most // 2)
-    words = T.tokens(F.col("text"))
-    listed = lines.select("doc_id", order, words.alias("words"))
+    listed = lines.select("doc_id", order, T.tokens(F.col("text")).alias("words"))
+    listed = listed.withColumn("stops", F.transform("words", lambda w: w.rlike(r"[.?!,;:]$")))
     rounds = F.expr(f"sequence(0, cast(floor(size(words) / {least + 1}) as int))")  # each round takes more than `least` words
-    start = F.struct(F.col("words").alias("rest"), F.array().cast("array<string>").alias("out"))
+    n = F.size("words")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,n:int>>").alias("cuts"))
 
     def cut(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        ends = F.array_max(F.filter(F.sequence(F.lit(least + 1), F.lit(most)), lambda k: F.try_element_at(rest, k).rlike(r"[.?!,;:]$")))
-        at = F.when(F.size(rest) <= most, F.size(rest)).otherwise(F.coalesce(ends, F.lit(most)))
-        return F.struct(
-            F.slice(rest, at + 1, F.size(rest)).alias("rest"),
-            F.when(F.size(rest) > 0, F.array_append(acc["out"], F.array_join(F.slice(rest, 1, at), " "))).otherwise(acc["out"]).alias("out"),
-        )
-
-    out = listed.select("doc_id", order, F.posexplode(F.aggregate(rounds, start, cut, lambda acc: acc["out"])).alias("part", "text"))
-    return out.select("doc_id", order, F.col("part").cast("bigint").alias("part"), "text")
+        at, rest = acc["at"], n - acc["at"]
+        stop = F.array_max(F.filter(F.sequence(F.lit(least + 1), F.lit(most)), lambda k: F.try_element_at("stops", at + k)))
+        size = F.when(rest <= most, rest).otherwise(F.coalesce(stop, F.lit(most)))
+        cuts = F.when(rest > 0, F.array_append(acc["cuts"], F.struct(at.alias("a"), size.alias("n")))).otherwise(acc["cuts"])
+        return F.struct((at + size).alias("at"), cuts.alias("cuts"))
+
+    out = listed.select("doc_id", order, "words", F.posexplode(F.aggregate(rounds, start, cut, lambda acc: acc["cuts"])).alias("part", "c"))
+    return out.select("doc_id", order, F.col("part").cast("bigint").alias("part"), F.array_join(F.slice("words", F.col("c.a") + 1, F.col("c.n")), " ").alias("text"))
 
 
 def _sentence_pieces(text: str) -> list[str]:

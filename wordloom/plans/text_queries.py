@@ -30,17 +30,17 @@ def documents(spark, sf):
 
 @query("quality_tokens_stats", f"WITH {W} SELECT doc_id, count(*) AS words, count(DISTINCT word) AS distinct_words FROM w GROUP BY doc_id")
 def quality_tokens_stats(spark, sf):
-    return Q.gate_tokens(documents(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count_distinct("word").alias("distinct_words"))
+    return Q.gate_counts(documents(spark, sf).select("doc_id", "text")).filter("n > 0").select("doc_id", F.col("n").alias("words"), F.col("distinct").alias("distinct_words"))
 
 
 @query("dominant_4gram", f"WITH {W}, {TOP} SELECT * FROM top")
 def dominant_4gram(spark, sf):
-    return Q.dominant_gram(Q.gate_tokens(documents(spark, sf)))
+    return Q.dominant_gram(documents(spark, sf))
 
 
 @query("consecutive_repeats", f"WITH {W}, {_repeats()} SELECT * FROM rep")
 def consecutive_repeats(spark, sf):
-    return Q.consecutive_repeats(Q.gate_tokens(documents(spark, sf)))
+    return Q.consecutive_repeats(documents(spark, sf))
 
 
 GATE = f"""{W}, {TOP}, {_repeats()}, n AS (SELECT doc_id, count(*) AS n, count(DISTINCT word) AS d FROM w GROUP BY doc_id), q AS (
@@ -111,7 +111,7 @@ def range_assignment(spark, sf):
     return R.assign_ranges(word_index(spark, sf).select("doc_id", "index"), spans, "sentence")
 
 
-@query("sequence_mismatches", f"""WITH {LINES}, c AS (SELECT doc_id, index, CASE WHEN index % 50 = 3 THEN text || '!' ELSE text END AS text FROM wi WHERE index % 1000 <> 999)
+@query("sequence_mismatches", f"""WITH {LINES.replace("wi AS (", "wi AS MATERIALIZED (")}, c AS (SELECT doc_id, index, CASE WHEN index % 50 = 3 THEN text || '!' ELSE text END AS text FROM wi WHERE index % 1000 <> 999)
 SELECT coalesce(a.doc_id, c.doc_id) AS doc_id, coalesce(a.index, c.index) AS index, a.text AS "left", c.text AS "right" FROM wi a FULL JOIN c ON a.doc_id = c.doc_id AND a.index = c.index WHERE a.text IS DISTINCT FROM c.text""")
 def sequence_mismatches(spark, sf):
     words = word_index(spark, sf).select("doc_id", "index", "text")
@@ -136,9 +136,13 @@ def chunk_packing(spark, sf):
     return R.pack_chunks(line_words(spark, sf))
 
 
-@query("long_line_split")
+@query("long_line_split", f"""WITH RECURSIVE {LINE_WORDS}, p AS (
+  SELECT doc_id, line, toks, 0::BIGINT AS part, 0 AS cut, 0 AS size FROM lw
+  UNION ALL SELECT doc_id, line, toks, part + 1, cut + size, CASE WHEN left_ <= 30 THEN left_ ELSE coalesce(list_max(list_filter(range(21, 31), lambda k: regexp_matches(toks[cut + size + k], '[.?!,;:]$'))), 30) END::INTEGER
+  FROM (SELECT *, len(toks) - cut - size AS left_ FROM p) WHERE left_ > 0
+) SELECT doc_id, line, part - 1 AS part, array_to_string(toks[cut + 1 : cut + size], ' ') AS text FROM p WHERE part > 0""")
 def long_line_split(spark, sf):
-    return R.split_long(line_words(spark, sf), 20 + 10)
+    return R.split_long(line_words(spark, sf), 30)
 
 
 @query("sentence_lines")
@@ -167,7 +171,7 @@ def halves(spark, sf):
 @query("stitch_pairs", f"""WITH {HALVES}, k AS (SELECT *, list_transform(a, lambda x: {KEY}) AS ka, list_transform(b, lambda x: {KEY}) AS kb FROM hv)
 SELECT doc_id, window_index, coalesce(list_max(list_filter(range(2, least(48, len(a), len(b)) + 1), lambda n: ka[len(ka) - n + 1 : len(ka)] = kb[1 : n])), 0)::INTEGER AS overlap FROM k""")
 def stitch_pairs(spark, sf):
-    keys = halves(spark, sf).withColumns({c: F.transform(c, T.stitch_key) for c in "ab"})
+    keys = halves(spark, sf).withColumns({c: T.stitch_keys(F.array_join(c, " ")) for c in "ab"})
     return keys.select("doc_id", "window_index", R.overlap_length(F.col("a"), F.col("b")).alias("overlap"))
 
 
@@ -228,13 +232,24 @@ def url_policy(spark, sf):
     return urls(spark, sf).select("page_id", "form", T.is_web_source(u).alias("web"), T.url_allowed(u, HOSTS).alias("allowed"), T.url_without_query(u).alias("clean_url"))
 
 
-@query("redact_text", r"""WITH t AS (SELECT doc_id, substring('see https://a.example.com/x?k=' || doc_id || ' hf_' || repeat('aB3', 8) || ' ' || text, 1, 1000) AS t FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(t, '(https?://[^\s?"''<>]+)\?[^\s"''<>]+', '\1?<redacted-query>', 'gi'), 'hf_[A-Za-z0-9]{20,}', '<redacted-token>', 'g') AS text FROM t WHERE NOT regexp_matches(t, '(^|[\s"''<>(])[A-Za-z]:[\\/]') AND NOT regexp_matches(t, '(^|[^\w/:])/[^\s]')""")
+# a character before a path that isn't part of it stands in for look-behind: no path begins where another ends
+@query("redact_text", r"""WITH t AS (SELECT doc_id, substring('see https://a.example.com/x?k=' || doc_id || ' hf_' || repeat('aB3', 8) || ' C:\Users\' || doc_id || '\a.wav or /home/u/' || doc_id || '.txt, ' || text, 1, 1000) AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(https?://[^\s?"''<>]+)\?[^\s"''<>]+', '\1?<redacted-query>', 'gi'), 'hf_[A-Za-z0-9]{20,}', '<redacted-token>', 'g') AS t FROM t),
+b AS (SELECT doc_id, regexp_replace(t, '(^|[^\p{L}\p{N}_])[A-Za-z]:[\\/][^\s"''<>]+', '\1<local-path>', 'g') AS t FROM a)
+SELECT doc_id, regexp_replace(t, '(^|[^\p{L}\p{N}_/:])/[^\s"''<>]+', '\1<local-path>', 'g') AS text FROM b""")
 def redact_text(spark, sf):
-    t = documents(spark, sf).select("doc_id", F.concat(F.lit("see https://a.example.com/x?k="), F.col("doc_id").cast("string"), F.lit(" hf_" + "aB3" * 8 + " "), "text").alias("t"))
-    cut = F.substring("t", 1, 1000)
-    plain = t.filter(~cut.rlike(r"(^|[\s\"'<>(])[A-Za-z]:[\\/]") & ~cut.rlike(r"(^|[^\w/:])/[^\s]"))  # SQL has no look-behind for paths: tests have them
-    return plain.select("doc_id", T.redact(F.col("t")).alias("text"))
+    i = F.col("doc_id").cast("string")
+    t = F.concat(F.lit("see https://a.example.com/x?k="), i, F.lit(" hf_" + "aB3" * 8 + " C:\\Users\\"), i, F.lit("\\a.wav or /home/u/"), i, F.lit(".txt, "), "text")
+    return documents(spark, sf).select("doc_id", T.redact(t).alias("text"))
+
+
+@query("worker_errors", r"""SELECT page_id, substring('GET ' || regexp_replace(url, '(https?://[^\s?"''<>]+)\?[^\s"''<>]+', '\1?<redacted-query>', 'gi') || '?<redacted-query> failed: ' || repeat('x', 300), 1, 240) AS text FROM pages WHERE url NOT LIKE '%?%' AND length(url) < 100""")
+def worker_errors(spark, sf):
+    """The 240 characters that a worker's error may have (F14); a URL's query is never among them."""
+    p = table(spark, sf, "pages").filter(~F.col("url").contains("?") & (F.length("url") < 100))
+    # the cut comes first, so the text is given as long as it is once its query is hidden
+    raw = F.concat(F.lit("GET "), "url", F.lit("?a"), F.lit("b" * 15), F.lit(" failed: "), F.lit("x" * 300))
+    return p.select("page_id", T.redact(raw, 240).alias("text"))
 
 
 @query("human_sizes", """SELECT doc_id, CASE WHEN b < 1024 THEN printf('%.1f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', b / 1073741824.0::DOUBLE) END AS size
@@ -276,7 +291,7 @@ def small_rules(spark, sf):
 
 @query("wer_distance")
 def wer_distance(spark, sf):
-    """Token edits between each document and the next one, up to 60 words of either."""
-    docs = documents(spark, sf).select("doc_id", F.slice(T.quality_tokens(F.col("text")), 1, 60).alias("t"))
+    """Token edits between each document and the next one, all words of either."""
+    docs = documents(spark, sf).select("doc_id", T.quality_tokens(F.col("text")).alias("t"))
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("o"))
     return Q.word_distance(docs.join(other, "doc_id"), "t", "o").select("doc_id", "distance")

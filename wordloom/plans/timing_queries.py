@@ -251,7 +251,7 @@ def rough_fallback(spark, sf):
 @query("fuzzy_align")
 def fuzzy_align(spark, sf):
     """Tokens of every conversation's even turns against those of its odd ones."""
-    t = turns(spark, sf).filter("window_index < 8").select("doc_id", "window_index", F.posexplode(F.split(F.lower("text"), r"\s+")).alias("pos", "token"))
+    t = turns(spark, sf).select("doc_id", "window_index", F.posexplode(F.split(F.lower("text"), r"\s+")).alias("pos", "token"))
     index = (F.col("window_index") * 100_000 + F.col("pos")).cast("bigint").alias("index")
     return A.fuzzy_align(t.filter("window_index % 2 = 0").select("doc_id", index, "token"), t.filter("window_index % 2 = 1").select("doc_id", index, "token"))
 
@@ -261,22 +261,26 @@ def window_word_times(spark, sf):
     return A.window_word_times(turns(spark, sf).withColumns({"start": F.col("window_index") * 24.0, "end": F.col("window_index") * 24.0 + 28.0}))
 
 
-@query("character_bounds", rf"""WITH {LINES}, k AS (SELECT doc_id, index, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^''\p{{L}}\p{{N}}]', '', 'g') AS token FROM wi WHERE doc_id % 20 < 20 AND index < 200)
+@query("character_bounds", rf"""WITH {LINES}, k AS (SELECT doc_id, index, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^''\p{{L}}\p{{N}}]', '', 'g') AS token FROM wi)
 SELECT doc_id, index, o AS "offset", substring(token, (o + 1)::INTEGER, 1) AS character, index + o / length(token)::DOUBLE AS "start", index + (o + 1) / length(token)::DOUBLE AS "end" FROM (SELECT *, unnest(range(length(token))) AS o FROM k WHERE token <> '')""")
 def character_bounds(spark, sf):
     from wordloom.functions.text import normalize_word
 
-    words = word_index(spark, sf).filter("index < 200").select("doc_id", "index", normalize_word(F.col("text")).alias("token"), F.col("index").cast("double").alias("start"), (F.col("index") + 1.0).alias("end"))
+    words = word_index(spark, sf).select("doc_id", "index", normalize_word(F.col("text")).alias("token"), F.col("index").cast("double").alias("start"), (F.col("index") + 1.0).alias("end"))
     return A.character_bounds(words).withColumn("offset", F.col("offset").cast("bigint"))
 
 
 @query("character_alignment")
 def character_alignment(spark, sf):
-    """Each document's first words from pieces of two of them, some letters lost."""
-    words = word_index(spark, sf).filter("index < 60").select("doc_id", "index", F.lower("clean").alias("token"))
+    """Every document's words, crop by crop of 60, from pieces of two of them, some letters lost."""
+    crop = F.struct("doc_id", F.expr("index div 60").alias("crop")).alias("doc_id")
+    words = word_index(spark, sf).select(crop, "index", F.lower("clean").alias("token"))
     pieces = words.withColumn("pair", F.expr("index div 2")).groupBy("doc_id", "pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "token"))), lambda w: w["token"]), "").alias("token"))
-    pieces = pieces.select("doc_id", F.col("pair").alias("index"), F.when(F.col("pair") % 3 == 0, F.substring("token", 2, 100)).otherwise(F.col("token")).alias("token"), (F.col("pair") * 1.0).alias("start"), (F.col("pair") + 0.9).alias("end"))
-    return A.align_characters(words, pieces, words.select("doc_id").distinct().withColumn("duration", F.lit(30.0)))
+    at = F.col("pair") % 30
+    pieces = pieces.select("doc_id", F.col("pair").alias("index"), F.when(F.col("pair") % 3 == 0, F.expr("substring(token, 2)")).otherwise(F.col("token")).alias("token"), (at * 1.0).alias("start"), (at + 0.9).alias("end"))
+    words, pieces = (side.withColumn("doc_id", F.to_json("doc_id")) for side in (words, pieces))
+    found = A.align_characters(words, pieces, words.select("doc_id").distinct().withColumn("duration", F.lit(30.0)))
+    return found.select(F.get_json_object("doc_id", "$.doc_id").cast("bigint").alias("doc_id"), "index", "start", "end", "mode")
 
 
 @query("bisected_segments", f"""WITH {MS}, s AS (SELECT doc_id, 'c' || (index // 9) AS id, min(index) AS a, max(index) + 1 AS b FROM wm GROUP BY doc_id, index // 9), h AS (SELECT doc_id, id, a, b, unnest([0, 1]) AS k FROM s WHERE b - a > 1)
