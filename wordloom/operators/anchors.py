@@ -33,7 +33,8 @@ def fuzzy_align(left: DataFrame, right: DataFrame, autojunk: bool = False) -> Da
         blocks = difflib.SequenceMatcher(None, a["token"].tolist(), b["token"].tolist(), autojunk=autojunk).get_matching_blocks()
         pairs = [(i, j) for x, y, n in blocks for i, j in zip(range(x, x + n), range(y, y + n), strict=True)]
         ai, bi = a["index"].tolist(), b["index"].tolist()
-        return pd.DataFrame({"doc_id": [key[0]] * len(pairs), "left_index": [ai[i] for i, _ in pairs], "right_index": [bi[j] for _, j in pairs]}).astype({"left_index": "int64", "right_index": "int64"})
+        ids = pd.Series([key[0]] * len(pairs), dtype=object)  # ids may be texts, which pandas would hold in chunks
+        return pd.DataFrame({"doc_id": ids, "left_index": [ai[i] for i, _ in pairs], "right_index": [bi[j] for _, j in pairs]}).astype({"left_index": "int64", "right_index": "int64"})
 
     groups = fresh(left, "doc_id", "index", "token").groupBy("doc_id").cogroup(fresh(right, "doc_id", "index", "token").groupBy("doc_id"))
     return groups.applyInPandas(match, f"doc_id {kind}, left_index bigint, right_index bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.operators import anchors as A, lineage as L, quality as Q, subtitles as S, timing as M, validate as V
 from wordloom.plans.registry import query, table
 from wordloom.plans.staging import EV, WORDS, recordings, regions, timed_words, turns
-from wordloom.plans.text_queries import BLANK_SPLIT, LINES, documents, line_ranges, word_index
+from wordloom.plans.text_queries import BLANK_SPLIT, GATE, HALVES, KEY, LINES, documents, halves, line_ranges, word_index
 
 # integer ms, so that both engines agree to the last digit
 MS = EV + """, wm AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY "start", event_id) - 1 AS index, event_id, event_type, "start", "end", 2678400000 AS duration FROM ev)"""
@@ -168,13 +168,37 @@ def degenerate_segments(spark, sf):
     return M.is_degenerate(items)
 
 
-@query("acoustic_cleanup")
-def acoustic_cleanup(spark, sf):
+GAP = 1 / 128  # sums of such steps and of halves of whole seconds are exact, so that both engines agree to the last digit
+CLEAN = f"""{MS}, {COARSE}, gj AS (SELECT aw.*, co."start" AS cs, co."end" AS ce, (aw."start" + aw."end") / 2 AS c, greatest(aw."end" - aw."start", 0) AS raw FROM aw LEFT JOIN co ON aw.doc_id = co.doc_id AND aw.index = co.index),
+gk AS (SELECT *, raw > 2.5 AS long, coalesce(abs(c - (cs + ce) / 2) > 4, false) AS far FROM gj), gg AS (SELECT *, (long OR far) AND cs IS NOT NULL AS guarded FROM gk),
+gw AS (SELECT doc_id, index, long, far, guarded, CASE WHEN guarded THEN (cs + ce) / 2 ELSE c END AS center, least(2.5, greatest(0.0078125, CASE WHEN guarded THEN greatest(0.0078125, ce - cs) ELSE raw END))::DOUBLE AS width, row_number() {O} - 1 AS k FROM gg),
+gv AS (SELECT doc_id, k, center - k * 0.0078125::DOUBLE AS v, sum(center - k * 0.0078125::DOUBLE) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM gw),
+gp AS (SELECT a.doc_id, a.k AS i, b.k AS j, (b.upto - a.upto + a.v) / (b.k - a.k + 1) AS m FROM gv a JOIN gv b ON a.doc_id = b.doc_id AND a.k <= b.k),
+gq AS (SELECT gv.doc_id, gv.k, gp.i, min(gp.m) AS m FROM gv JOIN gp ON gp.doc_id = gv.doc_id AND gp.i <= gv.k AND gp.j >= gv.k GROUP BY ALL), gf AS (SELECT doc_id, k, max(m) + k * 0.0078125::DOUBLE AS fitted FROM gq GROUP BY doc_id, k),
+gb AS (SELECT l.doc_id, 1 + count_if(l.m <= r.m) AS blocks FROM (SELECT doc_id, j, max(m) AS m FROM gp GROUP BY ALL) l JOIN (SELECT doc_id, i, min(m) AS m FROM gp GROUP BY ALL) r ON l.doc_id = r.doc_id AND r.i = l.j + 1 GROUP BY l.doc_id),
+ga AS (SELECT gw.*, coalesce(blocks, 1) AS blocks, least(2678400.0, greatest(0.0, fitted)) AS c FROM gw JOIN gf ON gw.doc_id = gf.doc_id AND gw.k = gf.k LEFT JOIN gb ON gw.doc_id = gb.doc_id),
+gd AS (SELECT *, max(c - (k + 1) * 0.0078125::DOUBLE) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) + (k + 1) * 0.0078125::DOUBLE AS f FROM ga),
+ge AS (SELECT *, CASE WHEN lead(k) OVER (PARTITION BY doc_id ORDER BY k) IS NULL THEN least(f, 2678400.0 - 0.0078125::DOUBLE / 2) ELSE f END AS p FROM gd),
+gm AS (SELECT *, min(p - (k + 1) * 0.0078125::DOUBLE) OVER (PARTITION BY doc_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING) + (k + 1) * 0.0078125::DOUBLE AS m FROM ge),
+gl AS (SELECT *, coalesce((lag(m) OVER (PARTITION BY doc_id ORDER BY k) + m) / 2, 0) AS l, coalesce((lead(m) OVER (PARTITION BY doc_id ORDER BY k) + m) / 2, 2678400.0) AS r FROM gm),
+gh AS (SELECT *, greatest(l, m - width / 2) AS s, least(r, m + width / 2) AS e FROM gl), gi AS (SELECT *, e - s < 0.0078125::DOUBLE - 1e-9 AS small, greatest(l, m - 0.0078125::DOUBLE / 2) AS s0 FROM gh),
+gx AS (SELECT *, CASE WHEN small THEN greatest(l, least(r, s0 + 0.0078125::DOUBLE) - 0.0078125::DOUBLE) ELSE s END AS s9, CASE WHEN small THEN least(r, s0 + 0.0078125::DOUBLE) ELSE e END AS e9 FROM gi),
+gz AS (SELECT doc_id, index, round(s9, 6) AS "start", round(greatest(s9 + 0.0078125::DOUBLE, e9), 6) AS "end", guarded, blocks, round(abs(m - center), 6) AS center_shift, long AS long_duration, far AS coarse_outlier FROM gx)"""
+
+
+def cleaned(spark, sf):
     words = aligned(spark, sf).withColumn("duration", F.lit(2_678_400.0))
-    return M.acoustic_cleanup(words, coarse(spark, sf)).select("doc_id", "index", "start", "end", "guarded", "blocks", "center_shift", "long_duration", "coarse_outlier")
+    return M.acoustic_cleanup(words, coarse(spark, sf), least=GAP).select("doc_id", "index", "start", "end", "guarded", "blocks", "center_shift", "long_duration", "coarse_outlier")
+
+
+@query("acoustic_cleanup", f"WITH {CLEAN} SELECT * FROM gz")
+def acoustic_cleanup(spark, sf):
+    return cleaned(spark, sf).withColumns({c: F.round(c, 6) for c in ("start", "end", "center_shift")})
 
 
-@query("cleanup_report")
+@query("cleanup_report", f"""WITH {CLEAN}, r AS (SELECT doc_id, center_shift, row_number() OVER (PARTITION BY doc_id ORDER BY center_shift) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM gz), q AS (SELECT doc_id, round(center_shift, 3) AS p95_center_shift FROM r WHERE k = floor(0.95 * (n - 1)))
+SELECT gz.doc_id, count_if(guarded)::BIGINT AS guarded_words, count_if(long_duration)::BIGINT AS long_duration_words, count_if(coarse_outlier)::BIGINT AS coarse_outlier_words, max(blocks) AS isotonic_block_count, count_if(center_shift > 0.001)::BIGINT AS center_adjusted_words, round(max(center_shift), 3) AS max_center_shift, any_value(p95_center_shift) AS p95_center_shift
+FROM gz JOIN q ON gz.doc_id = q.doc_id GROUP BY gz.doc_id""")
 def cleanup_report(spark, sf):
     return M.cleanup_report(acoustic_cleanup(spark, sf))
 
@@ -232,20 +256,54 @@ def segments(spark, sf):
     return A.alignment_segments(aligned(spark, sf).select("doc_id", F.expr("index div 40").alias("chunk_index"), "index", F.col("event_id").cast("string").alias("text")), anchors(spark, sf), 12)
 
 
-@query("alignment_segments")
+SEGMENTS = f"""{ANCHORED}, sw AS (SELECT aw.doc_id, aw.index // 40 AS chunk, aw.index, event_id::VARCHAR AS text, (an."start" + an."end") / 2 AS t, row_number() OVER (PARTITION BY aw.doc_id, aw.index // 40 ORDER BY aw.index) - 1 AS k
+  FROM aw JOIN wm ON wm.doc_id = aw.doc_id AND wm.index = aw.index LEFT JOIN an ON an.doc_id = aw.doc_id AND an.index = aw.index),
+sa AS (SELECT *, first_value(t IGNORE NULLS) OVER (PARTITION BY doc_id, chunk ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM sw),
+sf AS (SELECT doc_id, chunk, k, 0::BIGINT AS seg, 0::BIGINT AS begin, t AS first, t AS last FROM sa WHERE k = 0
+  UNION ALL SELECT doc_id, chunk, k, seg + cut, CASE WHEN cut = 1 THEN k ELSE begin END, CASE WHEN cut = 1 THEN t ELSE coalesce(first, t) END, CASE WHEN cut = 1 THEN t ELSE coalesce(t, last) END
+  FROM (SELECT sa.doc_id, sa.chunk, sa.k, sa.t, p.seg, p.begin, p.first, p.last, CASE WHEN sa.k - p.begin >= 12 OR coalesce(ahead - p.last > 8 OR ahead - p.first > 35, false) THEN 1 ELSE 0 END AS cut FROM sf p JOIN sa ON sa.doc_id = p.doc_id AND sa.chunk = p.chunk AND sa.k = p.k + 1)),
+sg AS (SELECT sw.doc_id, printf('c%03d-%03d', sw.chunk, seg) AS segment_id, sw.chunk AS source_chunk, min(index) AS word_start, max(index) + 1 AS word_end, count(*) AS word_count, string_agg(text, ' ' ORDER BY index) AS text
+  FROM sw JOIN sf ON sw.doc_id = sf.doc_id AND sw.chunk = sf.chunk AND sw.k = sf.k GROUP BY sw.doc_id, sw.chunk, seg)"""
+
+
+@query("alignment_segments", f"WITH RECURSIVE {SEGMENTS} SELECT * FROM sg")
 def alignment_segments(spark, sf):
     return segments(spark, sf)
 
 
-@query("crop_estimates")
-def crop_estimates(spark, sf):
+CROPS = f"""{SEGMENTS}, pc AS (SELECT aw.doc_id, 2678400.0::DOUBLE / count(*) AS p FROM aw GROUP BY aw.doc_id), en AS (SELECT doc_id FROM an GROUP BY doc_id HAVING count(*) >= 2),
+am AS (SELECT doc_id, index AS i, "start" AS s, "end" AS e, ("start" + "end") / 2 AS m FROM an),
+cx AS (SELECT sg.*, pc.p, (SELECT count(*) FROM am WHERE am.doc_id = sg.doc_id AND i >= word_start AND i < word_end) AS n,
+  (SELECT arg_min(am, i) FROM am WHERE am.doc_id = sg.doc_id AND i >= word_start AND i < word_end) AS f, (SELECT arg_max(am, i) FROM am WHERE am.doc_id = sg.doc_id AND i >= word_start AND i < word_end) AS l,
+  (SELECT arg_max(am, i) FROM am WHERE am.doc_id = sg.doc_id AND i < word_start) AS b, (SELECT arg_min(am, i) FROM am WHERE am.doc_id = sg.doc_id AND i > word_start) AS a
+  FROM sg JOIN pc ON pc.doc_id = sg.doc_id JOIN en ON en.doc_id = sg.doc_id),
+cy AS (SELECT *, CASE WHEN n > 0 THEN f.m - (f.i - word_start) * p WHEN b IS NOT NULL THEN b.m + (word_start - b.i) * p ELSE a.m - (a.i - word_start) * p END AS c1 FROM cx),
+cz AS (SELECT *, CASE WHEN n > 0 THEN l.m + (word_end - 1 - l.i) * p ELSE c1 + greatest(0, word_end - word_start - 1) * p END AS c2 FROM cy),
+da AS (SELECT *, CASE WHEN n > 0 THEN least(c1 - p / 2, f.s) ELSE c1 - p / 2 END AS b0, CASE WHEN n > 0 THEN greatest(c2 + p / 2, l.e) ELSE c2 + p / 2 END AS e0, greatest(4.0, greatest(0, c2 - c1) + greatest(1.0, 2 * p)) AS wanted FROM cz),
+db AS (SELECT *, greatest(0, (wanted - (e0 - b0)) / 2) + 1.35 AS pad FROM da), dc AS (SELECT *, b0 - pad AS b1, e0 + pad AS e1, e0 + pad - (b0 - pad) AS span, least(55.0, greatest(12.0, wanted + 2.7)) AS wide, (c1 + c2) / 2 AS mid FROM db),
+cr AS (SELECT doc_id, segment_id, word_start, word_end, round(greatest(0, CASE WHEN span > 55 THEN mid - wide / 2 ELSE b1 END), 4) AS crop_start, round(least(2678400.0, CASE WHEN span > 55 THEN mid + wide / 2 ELSE e1 END), 4) AS crop_end, n AS rough_anchor_count, round(span, 4) AS raw_crop_span, span > 55 AS crop_clipped FROM dc)"""
+
+
+def crops(spark, sf):
     docs = recordings(spark, sf).withColumn("duration", F.col("duration") / 1000)
     return A.estimate_crops(segments(spark, sf), aligned(spark, sf).select("doc_id", "index"), anchors(spark, sf), docs)
 
 
-@query("rough_fallback")
+def to_tenths(df, *columns):
+    return df.withColumns({c: F.round(c, 1) for c in columns})
+
+
+@query("crop_estimates", f"WITH RECURSIVE {CROPS} SELECT * REPLACE (round(crop_start, 1) AS crop_start, round(crop_end, 1) AS crop_end, round(raw_crop_span, 1) AS raw_crop_span) FROM cr WHERE crop_end > crop_start")
+def crop_estimates(spark, sf):
+    """Rounded to tenths once more: the fourth digit depends on the order of sums."""
+    return to_tenths(crops(spark, sf), "crop_start", "crop_end", "raw_crop_span")
+
+
+@query("rough_fallback", f"""WITH RECURSIVE {CROPS}, nb AS{INTERPOLATED.split(", nb AS", 1)[1].split("nb AS", 1)[-1]}, fc AS (SELECT cr.*, greatest(0.005, crop_end - crop_start) AS long, unnest(range(word_start, word_end)) AS index FROM cr WHERE crop_end > crop_start),
+fd AS (SELECT fc.*, ip."start" AS ws, ip."end" AS we FROM fc JOIN ip ON ip.doc_id = fc.doc_id AND ip.index = fc.index), fe AS (SELECT *, least(long, greatest(0.0, coalesce(ws, crop_start) - crop_start)) AS s FROM fd)
+SELECT doc_id, segment_id, index, round(s, 1) AS "start", round(least(long, greatest(s + 0.005, coalesce(we, crop_start + long) - crop_start)), 1) AS "end" FROM fe""")
 def rough_fallback(spark, sf):
-    return A.rough_fallback(aligned(spark, sf).select("doc_id", "index"), anchors(spark, sf), crop_estimates(spark, sf))
+    return to_tenths(A.rough_fallback(aligned(spark, sf).select("doc_id", "index"), anchors(spark, sf), crops(spark, sf)), "start", "end")
 
 
 @query("fuzzy_align")
@@ -256,9 +314,16 @@ def fuzzy_align(spark, sf):
     return A.fuzzy_align(t.filter("window_index % 2 = 0").select("doc_id", index, "token"), t.filter("window_index % 2 = 1").select("doc_id", index, "token"))
 
 
-@query("window_word_times")
+@query("window_word_times", f"""WITH RECURSIVE tw AS (SELECT conv_id AS doc_id, turn AS w, {BLANK_SPLIT.format('text')} AS words FROM conversations), n AS (SELECT doc_id, w, words, list_transform(words, lambda x: {KEY}) AS keys, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS k FROM tw WHERE len(words) > 0),
+p AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS w, CAST([] AS VARCHAR[]) AS new, CAST([] AS VARCHAR[]) AS keys, 0.0::DOUBLE AS begin, 0.0::DOUBLE AS long, 0.0::DOUBLE AS last, 0::BIGINT AS before FROM n WHERE k = 1
+  UNION ALL SELECT doc_id, k, w, new, all_keys, begin, long, CASE WHEN len(new) > 0 THEN greatest(begin + long * (len(new) - 1) / len(new) + 0.005, begin + long) ELSE last END, before + was
+  FROM (SELECT *, greatest(0.01, greatest(begin + 0.01, s, e) - begin) AS long FROM (
+    SELECT n.doc_id, n.k, n.w, n.w * 24.0::DOUBLE AS s, n.w * 24.0::DOUBLE + 28 AS e, p.last, p.before, len(p.new) AS was, greatest(n.w * 24.0::DOUBLE, p.last) AS begin, n.words[ov + 1 : len(n.words)] AS new, p.keys || n.keys[ov + 1 : len(n.keys)] AS all_keys
+    FROM (SELECT p.*, coalesce(list_max(list_filter(range(2, least(48, len(p.keys), len(n.keys)) + 1), lambda z: p.keys[len(p.keys) - z + 1 : len(p.keys)] = n.keys[1 : z])), 0) AS ov FROM p JOIN n ON n.doc_id = p.doc_id AND n.k = p.k + 1) p JOIN n ON n.doc_id = p.doc_id AND n.k = p.k + 1)))
+SELECT doc_id, before + i AS pos, new[i + 1] AS text, round(begin + long * i / len(new), 6) AS "start", round(greatest(begin + long * i / len(new) + 0.005, begin + long * (i + 1) / len(new)), 6) AS "end", w AS window_index FROM (SELECT *, unnest(range(len(new))) AS i FROM p)""")
 def window_word_times(spark, sf):
-    return A.window_word_times(turns(spark, sf).withColumns({"start": F.col("window_index") * 24.0, "end": F.col("window_index") * 24.0 + 28.0}))
+    found = A.window_word_times(turns(spark, sf).withColumns({"start": F.col("window_index") * 24.0, "end": F.col("window_index") * 24.0 + 28.0}))
+    return found.withColumns({c: F.round(c, 6) for c in ("start", "end")})
 
 
 @query("character_bounds", rf"""WITH {LINES}, k AS (SELECT doc_id, index, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^''\p{{L}}\p{{N}}]', '', 'g') AS token FROM wi)
@@ -297,6 +362,55 @@ def segments_with_descendants(spark, sf):
     return A.has_descendants(w.select("doc_id", g.alias("segment_id")).distinct(), done)
 
 
+@query("bisection", f"""WITH RECURSIVE {MS}, b AS (SELECT doc_id, 'c' || (index // 13) AS segment_id, min(index) AS word_start, max(index) + 1 AS word_end FROM wm GROUP BY doc_id, index // 13),
+t AS (SELECT *, EXISTS (SELECT 1 FROM wm WHERE wm.doc_id = b.doc_id AND wm.index >= word_start AND wm.index < word_end AND event_id % 23 = 0) AS failed FROM b
+  UNION ALL SELECT h.*, EXISTS (SELECT 1 FROM wm WHERE wm.doc_id = h.doc_id AND wm.index >= h.word_start AND wm.index < h.word_end AND event_id % 23 = 0) FROM (
+    SELECT doc_id, segment_id || '.' || k AS segment_id, CASE WHEN k = 0 THEN word_start ELSE word_start + (word_end - word_start) // 2 END AS word_start, CASE WHEN k = 0 THEN word_start + (word_end - word_start) // 2 ELSE word_end END AS word_end
+    FROM (SELECT *, unnest([0, 1]) AS k FROM t WHERE failed AND word_end - word_start > 1)) h)
+SELECT doc_id, segment_id, word_start, word_end, CASE WHEN failed THEN 'fallback' ELSE 'exact' END AS mode FROM t WHERE NOT failed OR word_end - word_start = 1""")
+def bisection(spark, sf):
+    """Segments halved until no half fails, or it is a word: those fail that hold a word of certain events."""
+    w = words_ms(spark, sf)
+    upto = w.select("doc_id", F.col("index").alias("i"), F.sum((F.col("event_id") % 23 == 0).cast("int")).over(Window.partitionBy("doc_id").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("bad"))
+
+    def fails(segments):
+        last = upto.select("doc_id", (F.col("i") + 1).alias("word_end"), F.col("bad").alias("b1"))
+        first = upto.select("doc_id", (F.col("i") + 1).alias("word_start"), F.col("bad").alias("b0"))
+        both = segments.join(last, ["doc_id", "word_end"]).join(first, ["doc_id", "word_start"], "left")
+        return both.select(*segments.columns, (F.col("b1") > F.coalesce("b0", F.lit(0))).alias("failed"))
+
+    s = w.groupBy("doc_id", F.expr("index div 13").alias("g")).agg(F.min("index").alias("word_start"), (F.max("index") + 1).alias("word_end"))
+    return A.bisect_until(s.select("doc_id", F.concat(F.lit("c"), F.col("g").cast("string")).alias("segment_id"), "word_start", "word_end"), fails, 13)
+
+
+RETRIED = f"""{HALVES}, kk AS (SELECT *, list_transform(a, lambda x: {KEY}) AS ka, list_transform(b, lambda x: {KEY}) AS kb FROM hv),
+ov AS (SELECT *, CASE WHEN len(a) = 0 THEN 0 ELSE coalesce(list_max(list_filter(range(2, least(48, len(a), len(b)) + 1), lambda n: ka[len(ka) - n + 1 : len(ka)] = kb[1 : n])), 0) END AS o FROM kk),
+documents AS (SELECT doc_id * 1000 + window_index AS doc_id, array_to_string(a || b[o + 1 : len(b)], ' ') AS text, (window_index % 3 + 1) * 30.0::DOUBLE AS n_chars FROM ov)"""
+
+
+@query("retried_windows", f"""WITH {RETRIED}, {GATE} SELECT doc_id // 1000 AS doc_id, doc_id % 1000 AS window_index, text, len(reasons) = 0 OR (text = '' AND duration <= 2.5) AS ok, CASE WHEN text = '' AND duration <= 2.5 THEN '' ELSE array_to_string(reasons, ',') END AS reasons, text = '' AND duration <= 2.5 AS accepted_empty FROM gate""")
+def retried_windows(spark, sf):
+    """Windows whose two halves were transcribed anew, stitched and judged."""
+    h = halves(spark, sf).withColumn("duration", (F.col("window_index") % 3 + 1) * 2.0)
+    parts = h.select("doc_id", "window_index", "duration", F.posexplode(F.array(F.array_join("a", " "), F.array_join("b", " "))).alias("half", "text"))
+    return A.merged_retries(parts).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("grid_refinement", f"""WITH {MS}, u AS (SELECT doc_id, index, index // 6 AS utt, event_id, ("start" // 1000)::DOUBLE AS s, ("start" // 1000 + 2)::DOUBLE AS e FROM wm),
+g AS (SELECT doc_id, index, utt, s + (utt % 7)::DOUBLE + 0.25 AS fs, e + (utt % 7)::DOUBLE - 0.25 AS fe FROM u WHERE utt % 4 <> 0 AND utt % 4 <> 1 AND event_id % 3 <> 0),
+d AS (SELECT u.*, fs, fe, median((s + e) / 2 - (fs + fe) / 2) OVER (PARTITION BY u.doc_id, u.utt) AS sh FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.index = g.index)
+SELECT doc_id, index, coalesce(fs + sh, s) AS "start", coalesce(fe + sh, e) AS "end", CASE WHEN fs IS NOT NULL THEN '{M.REFINED}' WHEN utt % 4 = 0 THEN '{M.MISSING}' WHEN utt % 4 = 1 THEN '{M.INVALID}' ELSE '{M.UNMATCHED}' END AS source FROM d""")
+def grid_refinement(spark, sf):
+    """Utterances without a grid, with one that can't be read, and with one that has most of their words."""
+    start = F.expr("cast(start div 1000 as double)")
+    w = words_ms(spark, sf).select("doc_id", "index", "event_id", F.expr("index div 6").alias("utterance_id"), F.col("event_id").cast("string").alias("text"), start.alias("start"), (start + 2).alias("end"))
+    offsets = w.groupBy("doc_id", "utterance_id").agg((F.min("start") - 0.5).alias("offset"))
+    has = offsets.filter("utterance_id % 4 <> 0").select("doc_id", "utterance_id", (F.col("utterance_id") % 4 != 1).alias("valid"))
+    late = (F.col("utterance_id") % 7).cast("double")
+    grid = w.filter("utterance_id % 4 > 1 and event_id % 3 <> 0").join(offsets, ["doc_id", "utterance_id"]).select("doc_id", "utterance_id", F.col("index").alias("pos"), (F.col("start") + late + 0.25 - F.col("offset")).alias("start"), (F.col("end") + late - 0.25 - F.col("offset")).alias("end"), F.col("text").alias("label"))
+    return M.refine_utterances(w, M.match_grids(w, offsets, grid), has).select("doc_id", "index", "start", "end", "source")
+
+
 @query("retry_windows", f"""WITH {EV} SELECT doc_id, event_id, h AS half, CASE WHEN h = 0 THEN s ELSE greatest(s, (s + e) / 2 - 1.5) END AS "start", CASE WHEN h = 0 THEN least(e, (s + e) / 2 + 1.5) ELSE e END AS "end"
 FROM (SELECT doc_id, event_id, ("start" // 1000)::DOUBLE AS s, ("end" // 1000)::DOUBLE AS e, unnest([0, 1]) AS h FROM ev)""")
 def retry_windows(spark, sf):

@@ -43,7 +43,7 @@ def parsed_probes(probes: DataFrame, text: str = "probe") -> DataFrame:
     """Adds `p` (PROBE), and the streams by kind, to rows with the JSON of a media probe; null where it can't be read."""
     parsed = probes.withColumn("p", F.from_json(text, PROBE, {"mode": "PERMISSIVE"}))
     streams = F.coalesce("p.streams", F.array().cast("array<struct<codec_type:string,codec_name:string,duration:string,sample_rate:string,channels:string,width:string,height:string,avg_frame_rate:string>>"))
-    return parsed.withColumns({f"{kind}s": F.filter(streams, lambda x, kind=kind: x["codec_type"] == kind) for kind in ("audio", "video")})
+    return parsed.withColumns({"audios": F.filter(streams, lambda x: x["codec_type"] == "audio"), "videos": F.filter(streams, lambda x: x["codec_type"] == "video")})
 
 
 def audio_probes(probes: DataFrame, text: str = "probe") -> DataFrame:
@@ -141,14 +141,16 @@ def valid_prefix(lines: DataFrame, schema: str, key: str = "path", order: str =
 
 
 def layouts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, line, sentence_index, words) of layout files, a JSON record a line."""
-    whole = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("doc_id"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return valid_prefix(whole.filter(F.trim("value") != ""), LAYOUT, "doc_id")
+    """(doc_id, line, sentence_index, words) of layout files, a JSON record a line (S12, D12). Files of one name in several
+    folders stay apart."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    return valid_prefix(whole.filter(F.trim("value") != ""), LAYOUT).select(stem().alias("doc_id"), "line", "sentence_index", "words")
 
 
 def grid_words(spark: SparkSession, path: str) -> DataFrame:
-    """(utterance_id, pos, start, end, label) of TextGrid files."""
-    return parse_grids(spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("utterance_id"), F.col("value").alias("text")))
+    """(utterance_id, pos, start, end, label) of TextGrid files (S7, D11). Files of one name in several folders stay apart."""
+    grids = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("utterance_id"), F.col("value").alias("text"))
+    return parse_grids(grids).withColumn("utterance_id", stem("utterance_id"))
 
 
 #: The interval tier of a TextGrid in the short form: the same values without their names, one a line.
