@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from wordloom.functions import text as T
 from wordloom.operators.anchors import fresh
@@ -149,70 +149,74 @@ def word_distance(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.withColumn("distance", _distances(F.col(left), F.col(right)))
 
 
-#: Rows of costs between two that are kept.
-KEPT_ROWS = 256
-#: Cells of a row beside the diagonal that are tried first.
-FIRST_BAND = 64
-FAR = 1 << 40
+#: Of so many columns of the cost table one is kept; those between are computed again for the path.
+KEPT_COLUMNS = 256
 
 
-def _next_row(above: np.ndarray, i: int, token: int, gold: np.ndarray, band: int) -> np.ndarray:
-    """Row i of the costs within the band; cell j is at j - i + band. Cells beyond the table are FAR."""
-    j = np.arange(i - band, i + band + 1)
-    inside = (j >= 1) & (j <= len(gold))
-    same = np.zeros(len(j), bool)
-    same[inside] = gold[j[inside] - 1] == token
-    row = np.where(inside, np.minimum(above + ~same, np.append(above[1:], FAR) + 1), FAR)
-    if i <= band:
-        row[band - i] = i
-    row = np.minimum.accumulate(row - j) + j  # from the left
-    row[(j < 0) | (j > len(gold))] = FAR
-    return row
+def _columns(places: dict, n: int, gold: list, state: tuple[int, int], begin: int, end: int):
+    """Columns begin + 1 .. end of the cost table, each as four numbers of n bits: where costs rise and fall down the column,
+    and where they rise and fall from the column before."""
+    full, (up, down) = (1 << n) - 1, state
+    for token in gold[begin:end]:
+        same = places.get(token, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = down | (full & ~(across | up)), up & across
+        before, after = (rises << 1 | 1) & full, (falls << 1) & full
+        up, down = after | (full & ~(level | before)), before & level
+        yield up, down, rises, falls
 
 
 def _alignment(predicted: list[str], gold: list[str]) -> tuple[int, list[tuple[int, int]]]:
     """Edit distance and the pairs of equal tokens on one best path: kept on the diagonal where tokens are equal, and of
     equal costs a substitution before a deletion before an insertion.
 
-    Costs are computed in a band about the diagonal, twice as wide until the distance fits into it: no best path leaves
-    it then. Of the rows one in KEPT_ROWS is kept; those between are computed again for the path.
+    The table is held as the bits of whole numbers (see edit_distance), one column in KEPT_COLUMNS of it at a time.
     """
-    codes: dict[str, int] = {}
-    left = [codes.setdefault(t, len(codes)) for t in predicted]
-    right = np.array([codes.setdefault(t, len(codes)) for t in gold], np.int64)
-    n, m = len(left), len(right)
-    band = max(FIRST_BAND, abs(n - m))
-    while True:
-        j = np.arange(-band, band + 1)
-        row = np.where((j >= 0) & (j <= m), j, FAR)
-        kept = {0: row}
-        for i, token in enumerate(left, 1):
-            row = _next_row(row, i, token, right, band)
-            if i % KEPT_ROWS == 0:
-                kept[i] = row
-        distance = int(row[m - n + band])
-        if distance <= band:
-            break
-        band *= 2
-    i, j, pairs, costs = n, m, [], {}
+    n, m = len(predicted), len(gold)
+    if not n or not m:
+        return n + m, []
+    seen: dict = {}
+    for i, token in enumerate(predicted):
+        seen.setdefault(token, []).append(i)
+    places, cost, last = _bits(seen, set(gold)), n, n - 1
+    kept, state = {0: ((1 << n) - 1, 0)}, ((1 << n) - 1, 0)
+    for j, (up, down, rises, falls) in enumerate(_columns(places, n, gold, state, 0, m), 1):
+        cost += (rises >> last & 1) - (falls >> last & 1)
+        if j % KEPT_COLUMNS == 0:
+            kept[j] = up, down
+    i, j, pairs, block, held = n, m, [], None, []
     while i and j:
-        if i not in costs or i - 1 not in costs:
-            start = (i - 1) // KEPT_ROWS * KEPT_ROWS
-            costs = {start: kept[start]}
-            for k in range(start + 1, i + 1):
-                costs[k] = _next_row(costs[k - 1], k, left[k - 1], right, band)
-        if left[i - 1] == right[j - 1]:
+        if predicted[i - 1] == gold[j - 1]:
             i, j = i - 1, j - 1
             pairs.append((i, j))
             continue
-        now, above, at = costs[i][j - i + band] - 1, costs[i - 1], j - i + band
-        if above[at] == now:
+        if (j - 1) // KEPT_COLUMNS != block:
+            block = (j - 1) // KEPT_COLUMNS
+            begin = block * KEPT_COLUMNS
+            held = list(_columns(places, n, gold, kept[begin], begin, j))
+        up, down, rises, falls = held[j - 1 - block * KEPT_COLUMNS]
+        step = (up >> i - 1 & 1) - (down >> i - 1 & 1)  # from the cell above
+        side = (rises >> i - 2 & 1) - (falls >> i - 2 & 1) if i > 1 else 1  # of the row above, from the column before
+        if step + side == 1:
             i, j = i - 1, j - 1
-        elif at + 1 < len(above) and above[at + 1] == now:
+        elif step == 1:
             i -= 1
         else:
             j -= 1
-    return distance, pairs[::-1]
+    return cost, pairs[::-1]
+
+
+ALIGNED = StructType([StructField("distance", LongType()), StructField("a", ArrayType(IntegerType())), StructField("b", ArrayType(IntegerType()))])
+
+
+@F.pandas_udf(ALIGNED)
+def _aligned(predicted: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    rows = []
+    for left, right in zip(predicted, gold, strict=True):
+        distance, pairs = _alignment(list(left), list(right))
+        rows.append((distance, [i for i, _ in pairs], [j for _, j in pairs]))
+    return pd.DataFrame(rows, columns=ALIGNED.names)
 
 
 def align_words(predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -223,19 +227,15 @@ def align_words(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 
 def alignments(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """(doc_id, distance, pairs) of every document that has words on both sides: edits, and the equal words on the best
-    alignment as structs of both indexes (J3, A11)."""
+    alignment as structs of both indexes (J3, A11). Tokens are gathered on the JVM; a batch of documents is aligned at once."""
 
-    def align(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"doc_id": [], "distance": [], "pairs": []})
-        left, right = left.sort_values("index"), right.sort_values("index")
-        distance, found = _alignment(left["token"].tolist(), right["token"].tolist())
-        a, b = left["index"].tolist(), right["index"].tolist()
-        return pd.DataFrame({"doc_id": [key[0]], "distance": [distance], "pairs": [[{"a": a[i], "b": b[j]} for i, j in found]]})
+    def listed(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", F.coalesce("token", F.lit("")).alias("token")))).alias(name))
 
-    kind = dict(predicted.dtypes)["doc_id"]
-    grouped = fresh(predicted, "doc_id", "index", "token").groupBy("doc_id").cogroup(fresh(gold, "doc_id", "index", "token").groupBy("doc_id"))
-    return grouped.applyInPandas(align, f"doc_id {kind}, distance bigint, pairs array<struct<a:bigint,b:bigint>>")
+    both = listed(fresh(predicted, "doc_id", "index", "token"), "l").join(listed(fresh(gold, "doc_id", "index", "token"), "r"), "doc_id")
+    found = both.withColumn("x", _aligned(F.col("l.token"), F.col("r.token")))
+    pairs = F.transform(F.arrays_zip("x.a", "x.b"), lambda p: F.struct(F.get("l.index", p["a"]).alias("a"), F.get("r.index", p["b"]).alias("b")))
+    return found.select("doc_id", "x.distance", pairs.alias("pairs"))
 
 
 def boundary_errors(pairs: DataFrame, predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -261,29 +261,37 @@ def quality_report(predicted: DataFrame, gold: DataFrame, metadata: DataFrame |
     rates are null then.
     """
     own = F.coalesce(F.nullif("clean", F.lit("")), "text") if "clean" in predicted.columns else F.col("text")
-    p, g = predicted.withColumn("token", T.normalize_word(own)), gold.withColumn("token", T.normalize_word(F.col("text")))
-    aligned = alignments(p, g)
-    pairs = aligned.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", F.col("p.a").alias("predicted_index"), F.col("p.b").alias("gold_index"))
-    raw = boundary_errors(pairs, predicted, gold)
-    unsound = ~F.coalesce(F.abs("error") < F.lit(float("inf")), F.lit(False))
-    errors = median_and_p95(raw, "error").drop("p95_low").join(raw.groupBy("doc_id").agg(F.bool_or(unsound).alias("unsound")), "doc_id")
-
-    def counted(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name), F.bool_or(F.coalesce(F.col("token") == "", F.lit(True))).alias(f"{name}_empty"))
-
-    out = aligned.select("doc_id", "distance", F.size("pairs").cast("bigint").alias("matched")).join(counted(p, "n_p"), "doc_id").join(counted(g, "n_g"), "doc_id").join(errors, "doc_id", "left")
-    empty = F.lit(None).cast("double")
-    out = out.join(metadata, "doc_id", "left") if metadata is not None else out.withColumns({"effective_words": F.lit(0), "coverage": empty})
-    problem = F.when(F.col("n_p_empty") | F.col("n_g_empty"), "empty token").when(F.coalesce("unsound", F.lit(False)), "bound not finite")
-    out = out.withColumn("problem", problem)
+
+    def listed(side: DataFrame, word: Column, name: str) -> DataFrame:
+        words = side.select("doc_id", "index", F.coalesce(T.normalize_word(word), F.lit("")).alias("token"), "start", "end")
+        return words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "token", "start", "end"))).alias(name))
+
+    # a document's words meet in one row: nothing is joined word by word
+    both = listed(predicted, own, "l").join(listed(gold, F.col("text"), "r"), "doc_id").withColumn("x", _aligned(F.col("l.token"), F.col("r.token")))
+
+    def apart(p: Column, side: str) -> Column:
+        return F.abs(F.get(F.col(f"l.{side}"), p["a"]) - F.get(F.col(f"r.{side}"), p["b"]))
+
+    errors = F.array_sort(F.flatten(F.transform(F.arrays_zip("x.a", "x.b"), lambda p: F.array(apart(p, "start"), apart(p, "end")))))
+    n_p, n_g = F.size("l").cast("bigint").alias("n_p"), F.size("r").cast("bigint").alias("n_g")
+    empty = F.exists("l.token", lambda t: t == "") | F.exists("r.token", lambda t: t == "")
+    out = both.select("doc_id", n_p, n_g, "x.distance", F.size("x.a").cast("bigint").alias("matched"), errors.alias("errors"), empty.alias("empty"))
+    out = out.join(metadata, "doc_id", "left") if metadata is not None else out.withColumns({"effective_words": F.lit(0), "coverage": F.lit(None).cast("double")})
+    unsound = F.exists("errors", lambda e: e.isNull() | F.isnan(e) | (e == F.lit(float("inf"))))
+    out = out.withColumn("problem", F.when(F.col("empty"), "empty token").when(unsound, "bound not finite"))
 
     def judged(value: Column) -> Column:
         return F.when(F.col("problem").isNull(), value)
 
+    def quantile(q: float) -> Column:
+        at = (F.size("errors") - 1) * F.lit(q)
+        low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        return F.when(F.size("errors") > 0, F.get("errors", low) + (F.get("errors", high) - F.get("errors", low)) * (at - low))
+
     effective = F.coalesce("effective_words", F.lit(0))
     return out.select(
         "doc_id", F.col("n_g").alias("reference_word_count"), F.col("n_p").alias("predicted_word_count"), judged(F.col("distance")).alias("word_errors"),
         judged(F.round(F.col("distance") / F.col("n_g"), 6)).alias("wer"), judged(F.col("matched")).alias("timing_matched_words"),
-        judged(F.coalesce("samples", F.lit(0))).alias("boundary_sample_count"), judged(F.round("median", 6)).alias("boundary_error_median"), judged(F.round("p95", 6)).alias("boundary_error_p95"),
+        judged(F.size("errors").cast("bigint")).alias("boundary_sample_count"), judged(F.round(quantile(0.5), 6)).alias("boundary_error_median"), judged(F.round(quantile(0.95), 6)).alias("boundary_error_p95"),
         effective.alias("effective_words"), F.round(effective / F.greatest("n_p", F.lit(1)), 6).alias("application_rate"), F.col("coverage").cast("double").alias("reported_coverage"), "problem",
     )
