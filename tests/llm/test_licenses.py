@@ -34,3 +34,15 @@ def test_notices(spark):
 
 def test_empty_table(spark):
     assert scan(spark, []) == []
+
+
+def test_planted_in_documents(spark):
+    """Entire texts among the documents of a table, in other case, spelling and copyright lines; repeated and null rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    mit, bsd = dict(licenses.LICENSES)["MIT"], dict(licenses.LICENSES)["BSD-3-Clause"]
+    planted = [(9001, "Copyright 2011 A. Person\n" + mit.title(), "MIT"), (9002, bsd.replace("copyright holder", "copyright owner"), "BSD-3-Clause"), (9002, bsd, "BSD-3-Clause"), (None, mit, "MIT"), (9003, None, None), (9004, "A story that quotes: " + mit, None)]
+    both = docs.unionByName(spark.createDataFrame([(i, t) for i, t, _ in planted], "doc_id bigint, text string"))
+    got = licenses.scan_licenses(both).collect()
+    assert len(got) == both.count()
+    found = sorted((str(r.doc_id), r.license) for r in got if r.license)
+    assert found == sorted((str(i), want) for i, _, want in planted if want)

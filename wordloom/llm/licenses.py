@@ -49,7 +49,7 @@ LICENSES = (
     ("BSD-3-Clause", BSD_HEAD + BSD_NAMES + BSD_TAIL),
 )
 #: Canonical digests of longer published texts: entire, and up to the end of their terms where an appendix follows;
-#: OFL-1.1 with its preamble for a font, and without. OP10_SQL knows LICENSES only.
+#: OFL-1.1 with its preamble for a font, and without.
 LICENSE_DIGESTS = (
     ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
     ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
@@ -161,8 +161,10 @@ def _sql_pairs(pairs) -> str:
 
 OP10_SQL = f"""
 WITH known AS (
-  SELECT sha256(trim(regexp_replace({_sql_lines("text")}, '[ \\n]+', ' ', 'g'))) AS digest, min(name) AS license
-  FROM (VALUES {_sql_pairs(LICENSES)}) AS v(name, text) GROUP BY 1
+  SELECT digest, min(name) AS license FROM (
+    SELECT sha256(trim(regexp_replace({_sql_lines("text")}, '[ \\n]+', ' ', 'g'))) AS digest, name FROM (VALUES {_sql_pairs(LICENSES)}) AS v(name, text)
+    UNION ALL SELECT digest, name FROM (VALUES {_sql_pairs(LICENSE_DIGESTS)}) AS d(name, digest)
+  ) GROUP BY digest
 ), notice AS (
   SELECT trim(regexp_replace({_sql_lines("text")}, '[ \\n]+', ' ', 'g')) AS line, name FROM (VALUES {_sql_pairs(NOTICES)}) AS v(name, text)
 ), canon AS (
