@@ -33,6 +33,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     Targets share the size of all by weight; none is over EPOCHS times its source's size, and what is over goes to
     the others by weight, until none is above. So all but the capped have one level of target per weight: sources
     are capped in the order of cap per weight, as long as the level of the rest is higher. All sums are integers.
+    One task sees a row for each source, which is little for as many as millions of sources.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
