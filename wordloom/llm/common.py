@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it holds more than one row in so many; there are fewer such keys than this.
 HOT_SHARE = 1024
+#: Rows of a key that any task can take.
+LEAST_HOT = 1 << 14
 
 
 #: The temporary folder of each application whose session names none.
@@ -118,16 +120,20 @@ def lower_ascii(text: Column) -> Column:
 def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, hottest: int | None = None) -> DataFrame:
     """Inner join of `left` with `right`, which has each key once and in `count` the rows `left` has for it.
 
-    Keys with more than 1/HOT_SHARE of all rows are joined by broadcast: there can only be
-    HOT_SHARE of them, however large the tables are. All others are small enough to shuffle.
-    hottest: the largest count, if it is known; without a hot key the join is a plain one.
+    Keys with more than 1/HOT_SHARE of all rows, and more than LEAST_HOT, are joined by broadcast: there can only be
+    HOT_SHARE of them, however large the tables are. All others are small enough to shuffle. Without a hot key nothing
+    goes through the driver: the join is a sorted one, whatever the sizes. hottest: the largest count, if it is known;
+    else `right` is written first.
     """
-    if hottest is not None and hottest * HOT_SHARE <= total:
-        return left.join(right, key)
-    hot = F.col(count) * HOT_SHARE > F.lit(total)
+    if hottest is None:
+        right = written(right)
+        hottest = right.agg(F.max(count)).first()[0] or 0
+    if hottest <= LEAST_HOT or hottest * HOT_SHARE <= total:
+        return left.join(right.hint("merge"), key)
+    hot = (F.col(count) * HOT_SHARE > F.lit(total)) & (F.col(count) > LEAST_HOT)
     few = F.broadcast(right.filter(hot))
     rest = left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti")
-    return left.join(few, key).unionByName(rest.join(right.filter(~hot), key))
+    return left.join(few, key).unionByName(rest.join(right.filter(~hot).hint("merge"), key))
 
 
 def hashed_sample(df: DataFrame, column: str, rows: int, most: int) -> DataFrame:

@@ -149,18 +149,18 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = _checked(written(met.groupBy("node").agg(F.min("pivot").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")), texts, shingle, least)
     for again in (True, False):
         roots = written(components(seen.filter("alike").select("a", "b")))
-        placed = met.join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
+        placed = met.join(roots.hint("merge"), "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
         if again:  # the other bands' least nodes
             of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-            more = placed.join(of_pivot, "pivot", "left").filter("root <> coalesce(pivot_root, pivot)").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+            more = placed.join(of_pivot.hint("merge"), "pivot", "left").filter("root <> coalesce(pivot_root, pivot)").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         else:  # whatever is left apart
             apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-            left = written(placed.select("key", "node", "root").join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
+            left = written(placed.select("key", "node", "root").join(apart.hint("merge"), "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
             more = further_pairs(left, shuffle_partitions(docs.sparkSession))
-        more = more.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        more = more.join(seen.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         seen = seen.unionByName(_checked(written(more), texts, shingle, least))
     roots = components(seen.filter("alike").select("a", "b"))
-    placed = written(nodes.select("node", "least_id", "members").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = written(nodes.select("node", "least_id", "members").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     of_root = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_node = join_counted(placed, of_root, "root", "n", nodes.count()).select("node", "members", "component_id")
     return join_counted(rows.select("id", "node"), of_node, "node", "members", rows.count()).select(F.col("id").alias(id_col), "component_id")

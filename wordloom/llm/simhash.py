@@ -301,7 +301,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")))
     links = link_fingerprints(distinct, distinct.count())
     roots = components(links)  # (node, root) of the fingerprints that have links
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "members", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "least", "members", F.coalesce("root", "fp").alias("root"))
     placed = written(placed)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
     # most fingerprints are alone: only the others need a join with their component's smallest id
