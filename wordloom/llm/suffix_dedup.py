@@ -354,11 +354,13 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     ids come first; a null text is empty, and texts shorter than MINIMUM bytes stay whole. Other columns are ignored.
 
     1. Long repeats: content-defined segments, and bridges over their cuts, are grouped by digest. In one that isn't
-       the first of its kind every window is a repeat; a window's first place is never in one.
+       the first of its kind every window is a repeat; a window's first place is never in one. Most removed bytes are
+       found here, by digest and not by the suffix array.
     2. The windows left are keyed by an anchor that depends on their bytes alone; most anchors occur once. The others'
        contexts are dealt by anchor into shards of bounded size. Contexts that agree with no other for long enough
        beside their anchor go, and equal ones stand for each other; a suffix array and BWT tell the repeats of the rest.
-    3. An anchor with too many contexts for one shard has its windows grouped one by one, by digest.
+    3. An anchor with too many contexts for one shard (MOST_CONTEXTS) has its windows grouped one by one, by digest: the
+       same repeats, found without the suffix array.
     """
     spark = docs.sparkSession
     texts = keyed_documents(docs)
@@ -372,7 +374,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     anchors = tidy(texts.join(firsts, "key").select("key", "text", "firsts").mapInArrow(_anchors, "h bigint, key bigint, lo int, form int"))
     total = anchors.count()
     often = tidy(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    again = tidy(join_counted(anchors, often, "h", "n", total))
+    hottest = often.agg(F.max("n")).first()[0] or 0
+    again = tidy(join_counted(anchors, often, "h", "n", total, hottest))
     most, size = again.agg(F.max("n"), F.sum(F.shiftright("form", 7) + F.lit(MINIMUM + 1))).first()
     hot = F.col("n") > MOST_CONTEXTS
     per_key = F.collect_list(F.struct("h", "lo", "form")).alias("found")
