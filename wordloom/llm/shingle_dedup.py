@@ -124,7 +124,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     total = pairs.count()
     for end in ("a", "b"):
         right = texts.join(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")), texts["node"] == F.col(end)).select(end, F.col("text").alias(f"text_{end}"), "n")
-        pairs = join_counted(pairs, right, end, "n", total).drop("n")
+        hottest = pairs.groupBy(end).count().agg(F.max("count")).first()[0] or 0  # known, so that no texts are written for it
+        pairs = join_counted(pairs, right, end, "n", total, hottest).drop("n")
     return written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(partial(_alike, shingle=shingle, least=least), "a bigint, b bigint, alike boolean"))
 
 
