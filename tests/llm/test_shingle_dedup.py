@@ -66,3 +66,31 @@ def test_further_pairs(spark, monkeypatch):
     got = {(r.a, r.b) for r in shingle_dedup.further_pairs(spark.createDataFrame(rows, "key bigint, node bigint, root bigint, sketch binary"), 4).collect()}
     want = {(a, b) for a in sketches for b in sketches if a > b and root[a] != root[b] and (sketches[a] == sketches[b]).sum() >= 0.6 * 96}
     assert got == want and len(want) > 15
+
+
+def test_links_of_a_large_group(spark, monkeypatch):
+    """Copies changed again and again, of which many are alike and more nearly so: what leaves the tiles connects what is
+    alike, and grows with the nodes, not with the pairs."""
+    monkeypatch.setattr(shingle_dedup, "TILE", 64)
+    rng = np.random.default_rng(4)
+    base, sets = rng.integers(0, 1 << 63, 150).astype(np.uint64), {}
+    for node in range(300):
+        own = base.copy()
+        own[rng.choice(150, rng.integers(5, 45), replace=False)] = rng.integers(0, 1 << 63)
+        sets[node] = np.unique(own)
+    rows = [(key, node, 0 if node < 100 else node, shingle_dedup.bands(s)[1], s.tobytes()) for node, s in sets.items() for key in (5, 6)]
+    placed = spark.createDataFrame(rows, "key bigint, node bigint, root bigint, sketch binary, shingles binary")
+    got = [(r.a, r.b) for r in shingle_dedup.further_pairs(placed, 4, 0.8).collect()]
+    same = {(a, b) for a in sets for b in sets if a > b and shingle_dedup.similarity(sets[a], sets[b]) >= 0.8}
+    assert set(got) <= same and len(same) > 10 * len(got) and len(got) < 5 * len(sets)
+
+    def reached(links):
+        root = {n: 0 if n < 100 else n for n in sets}
+        for _ in sets:
+            before = dict(root)
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                return root
+
+    assert reached(got) == reached(same) and len(set(reached(got).values())) > 1

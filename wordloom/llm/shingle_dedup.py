@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 12
-#: Nodes of a band that are compared with as many others in one task, by their signatures; those that agree in less than
-#: PROMISING of it are far below SIMILARITY (five standard deviations).
-TILE, PROMISING = 1024, 0.6
+#: Nodes of a band, and bytes of their sets, that are compared with as many others in one task, by their signatures; those
+#: that agree in less than PROMISING of it are far below SIMILARITY (five standard deviations).
+TILE, TILE_BYTES, PROMISING = 1024, 1 << 25, 0.6
 #: The signature's hash functions are x * odd + number, modulo 2 ** 64.
 TIMES, PLUS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 TIMES |= np.uint64(1)
@@ -69,34 +70,121 @@ def _sketches(batches, shingle: int):
         yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "keys", "sketch"])
 
 
-def _promising(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a > b) of a tile's nodes in different components whose signatures agree in much."""
-    left, right = pdf[pdf["i"] == key[1]], pdf[pdf["i"] == key[2]]
-    a, b = (np.frombuffer(b"".join(side["sketch"]), np.uint16).reshape(len(side), -1) for side in (left, right))
-    out = []
-    for at in range(0, len(a), 64):
-        agree = np.zeros((len(a[at : at + 64]), len(b)), np.uint8)
-        for k in range(a.shape[1] if len(a) else 0):
-            agree += a[at : at + 64, k, None] == b[None, :, k]
-        x, y = np.nonzero(agree >= PROMISING * a.shape[1])
-        out.append(pd.DataFrame({"a": left["node"].to_numpy()[at + x], "b": right["node"].to_numpy()[y], "r": left["root"].to_numpy()[at + x], "s": right["root"].to_numpy()[y]}))
-    found = pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in "abrs"})
-    found = found[found["r"] != found["s"]]
-    return pd.DataFrame({"a": np.maximum(found["a"], found["b"]), "b": np.minimum(found["a"], found["b"])}).drop_duplicates()
-
-
-def further_pairs(placed: DataFrame, width: int) -> DataFrame:
+def _tiles(batches):
+    """The rows of one tile after the other, as batches; they come sorted by tile, the first three columns."""
+    held, before = [], None
+    for batch in batches:
+        tile = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        cuts = [0, *(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for at, end in pairwise(cuts):
+            if at == end:
+                continue
+            if held and (tile[:, at] != before).any():
+                yield held
+                held = []
+            before = tile[:, at]
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield held
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many values each signature of `a` agrees with each of `b`."""
+    if len(a) * len(b) < 512:
+        return (a[:, None] == b[None]).sum(axis=2)
+    agree, across = np.zeros((len(a), len(b)), np.uint8), np.ascontiguousarray(b.T)
+    for k in range(a.shape[1]):
+        agree += a[:, k, None] == across[k]
+    return agree
+
+
+class _Overlap:
+    """Jaccard similarities of one set with some of the others, all given as bytes of sorted hashes."""
+
+    def __init__(self, sets: list[bytes]):
+        self.size = np.array([len(s) // 8 for s in sets])
+        self.end = np.cumsum(self.size)
+        different, self.code = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(different), bool)
+
+    def _codes(self, k: int) -> np.ndarray:
+        return self.code[self.end[k] - self.size[k] : self.end[k]]
+
+    def similarities(self, own: int, others: np.ndarray) -> np.ndarray:
+        self.mark[self._codes(own)] = True
+        both = np.array([np.count_nonzero(self.mark[self._codes(k)]) for k in others.tolist()])
+        self.mark[self._codes(own)] = False
+        return both / (self.size[own] + self.size[others] - both)
+
+
+def _pairs_of_tile(i, low: int, high: int, root, sketches: list[bytes], sets: list[bytes] | None, least: float | None):
+    """Places (a, b) of pairs in different components whose signatures agree in much; with `least`, only of pairs that are
+    that similar, and of these only such as still connect different components."""
+    signature, label = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sketches), -1), np.unique(root, return_inverse=True)[1]
+    left, right, overlap = np.flatnonzero(i == low), np.flatnonzero(i == high), None
+    left = left[np.argsort(label[left], kind="stable")]
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        own = label[rows]
+        there = right[label[right] != own[0]] if (own == own[0]).all() else right
+        x, y = np.nonzero(_agreement(signature[rows], signature[there]) >= PROMISING * signature.shape[1])
+        bounds = np.searchsorted(x, np.arange(len(rows) + 1)).tolist()
+        for a, begin, end in zip(rows.tolist(), bounds, bounds[1:], strict=False):
+            others = there[y[begin:end]]
+            others = others[(label[others] != label[a]) & ((others > a) | (low != high))]
+            if least is not None and len(others):
+                overlap = overlap or _Overlap(sets)
+                others = others[overlap.similarities(a, others) >= least]
+                _, first = np.unique(label[others], return_index=True)
+                others = others[first]
+                label[np.isin(label, label[others])] = label[a]
+            if len(others):
+                yield a, others
+
+
+def _promising(batches, least: float | None):
+    for held in _tiles(batches):
+        tile = held[0] if len(held) == 1 else pa.Table.from_batches(held)
+        i, node, root = (tile.column(c).to_numpy() for c in (3, 4, 5))
+        sets = None if least is None else tile.column(7).to_pylist()
+        low, high = (tile.column(c)[0].as_py() for c in (1, 2))
+        found = list(_pairs_of_tile(i, low, high, root, tile.column(6).to_pylist(), sets, least))
+        if found:
+            a, b = (node[np.concatenate(side)] for side in ([np.full(len(o), k) for k, o in found], [o for _, o in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+
+def further_pairs(placed: DataFrame, width: int, least: float | None = None) -> DataFrame:
     """(a, b) of nodes that share a band, are in different components and may be alike; placed: (key, node, root, sketch).
+    With `least`, placed has `shingles` as well, the bytes of a node's shingle set, and pairs are of that similarity or
+    more, as many in a tile as connect its components: no more than it has nodes, however many are alike.
 
-    A band's nodes are dealt into blocks of about TILE, and each pair of blocks is one task's work, so that a band with
-    very many nodes is many tasks; only pairs with like signatures leave them.
+    A band's nodes are dealt into blocks of about TILE nodes and TILE_BYTES, those of its largest component apart from the
+    others, and each pair of blocks, but for two of the largest component, is one task's work: a band with very many
+    nodes is many tasks, and where most are joined already their sets are moved to few of them.
     """
-    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
-    dealt = join_counted(placed, sizes, "key", "n", placed.count()).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tiles = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", "sketch")
-    return tiles.repartition(width, "key", "low", "high").groupBy("key", "low", "high").applyInPandas(_promising, "a bigint, b bigint").distinct()
+    content = [c for c in ("sketch", "shingles") if c in placed.columns]
+    of_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(sum(F.length(c) for c in content)).alias("bytes"))
+    most = F.max(F.struct("n", "root", "bytes"))
+    sizes = of_root.groupBy("key").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / TILE, size / TILE_BYTES)).cast("int")
+
+    others = blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))
+    sizes = sizes.filter("n > most.n").select("key", F.col("most.root").alias("main"), "n", others.alias("others"), blocks(F.col("most.n"), F.col("most.bytes")).alias("mains"))
+    dealt, main, turn = join_counted(placed, sizes, "key", "n", placed.count()), F.col("root") == F.col("main"), F.xxhash64("node")
+    dealt = dealt.withColumn("i", F.when(main, F.col("others") + F.pmod(turn, F.col("mains"))).otherwise(F.pmod(turn, F.col("others"))).cast("int"))
+    tiles = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+    tiles = tiles.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "node", "root", *content)
+    sorted_ = tiles.repartition(width, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return sorted_.mapInArrow(partial(_promising, least=least), "a bigint, b bigint").distinct()
+
+
+def _sets(batches, shingle: int):
+    for batch in batches:
+        sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 def _of_node(batches, shingle: int):
@@ -134,10 +222,10 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     they share `least` or more (Jaccard). among: the ids (a column `id`) that are looked at; all others are left out.
 
     Rows of one shingle set are one node; rows without words are one as well. A node is first compared with the least
-    node of all its bands', then with the least node of each band that is still in another component. Where this leaves
-    a band's nodes in several components, their signatures are compared in tiles (further_pairs), and what agrees in
-    much is compared as well. Only texts of nodes that meet another are moved, one of each. Null ids lose against any
-    other; repeated rows get a row each; an empty table gives none.
+    node of all its bands'. Where this leaves a band's nodes in several components, their signatures are compared in tiles
+    (further_pairs), and what agrees in much is compared there by its shingle sets: only links leave a tile, no pairs that
+    are yet to be looked at. Only texts of nodes that meet another are moved, one of each. Null ids lose against any other;
+    repeated rows get a row each; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_sketches, shingle=shingle), "id bigint, node bigint, keys array<bigint>, sketch binary")
     rows = written(rows if among is None else rows.join(among.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_semi"))
@@ -145,22 +233,20 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = nodes.select("node", F.explode("keys").alias("key"))
     total = nodes.count() * BANDS
     shared = met.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = written(join_counted(met, shared, "key", "n", total).select("key", "node", "pivot"))
+    met = written(join_counted(met, shared, "key", "n", total).select("key", "node", "pivot", "n"))
     texts = written(_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "least_id")))
     seen = _checked(written(met.groupBy("node").agg(F.min("pivot").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")), texts, shingle, least)
-    for again in (True, False):
-        roots = written(components(seen.filter("alike").select("a", "b")))
-        placed = met.join(roots.hint("merge"), "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
-        if again:  # the other bands' least nodes
-            of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-            more = placed.join(of_pivot.hint("merge"), "pivot", "left").filter("root <> coalesce(pivot_root, pivot)").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        else:  # whatever is left apart
-            apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-            left = written(placed.select("key", "node", "root").join(apart.hint("merge"), "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
-            more = further_pairs(left, shuffle_partitions(docs.sparkSession))
-        more = more.join(seen.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        seen = seen.unionByName(_checked(written(more), texts, shingle, least))
-    roots = components(seen.filter("alike").select("a", "b"))
+    links = seen.filter("alike").select("a", "b")
+    roots = written(components(links))
+    placed = written(met.join(roots.hint("merge"), "node", "left").select("key", "node", "pivot", "n", F.coalesce("root", "node").alias("root")))
+    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    # bands of two nodes that were compared
+    done = placed.filter("n = 2 and node <> pivot").select("key", F.col("node").alias("a"), F.col("pivot").alias("b")).join(seen.select("a", "b").hint("merge"), ["a", "b"], "left_semi").select("key")
+    left = written(placed.join(apart.hint("merge"), "key", "left_semi").join(done.hint("merge"), "key", "left_anti").select("key", "node", "root"))
+    sets = texts.join(left.select("node").distinct().hint("merge"), "node", "left_semi").mapInArrow(partial(_sets, shingle=shingle), "node bigint, shingles binary")
+    left = left.join(nodes.select("node", "sketch").hint("merge"), "node").join(sets.hint("merge"), "node")
+    links = links.unionByName(written(further_pairs(written(left), shuffle_partitions(docs.sparkSession), least)))
+    roots = components(links)
     placed = written(nodes.select("node", "least_id", "members").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     of_root = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_node = join_counted(placed, of_root, "root", "n", nodes.count()).select("node", "members", "component_id")
