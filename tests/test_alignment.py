@@ -1,7 +1,9 @@
+import difflib
 import random
 
 import pytest
 from wordloom.operators import quality
+from wordloom.operators.anchors import matching_blocks
 from wordloom.plans import QUERIES
 from wordloom.plans.timing_queries import word_index
 
@@ -46,3 +48,15 @@ def test_wer_report_has_all_words(spark):
     want = {r.doc_id: r["count"] for r in word_index(spark, SF).groupBy("doc_id").count().collect()}
     got = {r.doc_id: r.reference_word_count for r in QUERIES["wer_report"](spark, SF).collect()}
     assert max(want.values()) > 120 and all(want[i] == n for i, n in got.items())
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcé🙂"])
+def test_matching_blocks(letters):
+    """The same pairs as difflib's."""
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(0, 50))) for _ in range(2))
+        if rng.random() < 0.5:
+            b = "".join(c for c in a if rng.random() < 0.9)
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+        assert [(x + k, y + k) for x, y, n in matching_blocks(a, b) for k in range(n)] == [(x + k, y + k) for x, y, n in want for k in range(n)]

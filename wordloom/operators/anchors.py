@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from wordloom.functions import text as T
 
@@ -236,6 +237,25 @@ def character_bounds(observed: DataFrame) -> DataFrame:
     return chars.select("doc_id", "index", "offset", "character", (F.col("start") + long * F.col("offset") / F.col("n")).alias("start"), (F.col("start") + long * (F.col("offset") + 1) / F.col("n")).alias("end"))
 
 
+def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of difflib's blocks, without junk, in order: the longest common stretch, the first
+    in `a` and then in `b` of equals, and so on left and right of it. A stretch is looked up as a whole."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        at = long = 0
+        i = a0
+        while i + long < a1 and long < b1 - b0:
+            while i + long < a1 and b.find(a[i : i + long + 1], b0, b1) >= 0:
+                at, long = i, long + 1
+            i += 1
+        if long:
+            there = b.find(a[at : at + long], b0, b1)
+            out.append((at, there, long))
+            todo += [(a0, at, b0, there), (at + long, a1, there + long, b1)]
+    return sorted(out)
+
+
 def words_from_characters(expected: list[str], observed: list[tuple[str, float, float]], duration: float) -> tuple[list[tuple[float, float]], str] | None:
     """Bounds of each expected word from timed pieces of text (W16), and whether all characters agreed.
 
@@ -246,7 +266,7 @@ def words_from_characters(expected: list[str], observed: list[tuple[str, float,
     want, have = "".join(expected), "".join(text for text, _, _ in observed if text)
     if not want or not have:
         return None
-    blocks = [(0, 0, len(want))] if want == have else difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks()
+    blocks = [(0, 0, len(want))] if want == have else matching_blocks(want, have)
     times = {i + k: spread[j + k][1:] for i, j, n in blocks for k in range(n)}
     if not times:
         return None
@@ -273,19 +293,32 @@ def words_from_characters(expected: list[str], observed: list[tuple[str, float,
     return out, "char_exact" if len(known) == len(want) and want == have else "char_partial"
 
 
-def align_characters(expected: DataFrame, observed: DataFrame, crops: DataFrame) -> DataFrame:
-    """(doc_id, index, start, end, mode) of expected words (doc_id, index, token) from observed pieces (doc_id, index,
-    token, start, end) and crops (doc_id, duration) (W16)."""
-    kind = dict(expected.dtypes)["doc_id"]
+PLACED = StructType([StructField("start", ArrayType(DoubleType())), StructField("end", ArrayType(DoubleType())), StructField("mode", StringType())])
 
-    def align(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("index"), b.sort_values("index")
-        found = words_from_characters(a["token"].tolist(), list(zip(b["token"], b["start"], b["end"], strict=True)), float(a["duration"].iloc[0]) if len(a) else 0.0)
-        rows = [] if found is None else [(key[0], i, s, e, found[1]) for i, (s, e) in zip(a["index"].tolist(), found[0], strict=True)]
-        return pd.DataFrame(rows, columns=["doc_id", "index", "start", "end", "mode"])
 
-    groups = fresh(expected, "doc_id", "index", "token").join(fresh(crops, "doc_id", "duration"), "doc_id").groupBy("doc_id").cogroup(fresh(observed, "doc_id", "index", "token", "start", "end").groupBy("doc_id"))
-    return groups.applyInPandas(align, f"doc_id {kind}, index bigint, start double, end double, mode string")
+@F.pandas_udf(PLACED)
+def _placed(words: pd.Series, pieces: pd.Series, starts: pd.Series, ends: pd.Series, duration: pd.Series) -> pd.DataFrame:
+    rows = []
+    for w, p, s, e, long in zip(words, pieces, starts, ends, duration, strict=True):
+        found = words_from_characters(list(w), list(zip(p, s.tolist(), e.tolist(), strict=True)), float(long))
+        rows.append((None, None, None) if found is None else ([s for s, _ in found[0]], [e for _, e in found[0]], found[1]))
+    return pd.DataFrame(rows, columns=PLACED.names)
+
+
+def align_characters(expected: DataFrame, observed: DataFrame, crops: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, index, start, end, mode) of expected words (doc_id, index, token) from observed pieces (doc_id, index,
+    token, start, end) and crops (doc_id, duration) (W16). by: columns that tell crops apart, in all three."""
+
+    def listed(side: DataFrame, name: str, *columns: str) -> DataFrame:
+        return side.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("index", *columns))).alias(name))
+
+    # a crop's words and pieces meet in one row, and a batch of crops is aligned at once
+    nan = F.lit(float("nan"))
+    timed = fresh(observed, *by, "index", "token", "start", "end").withColumns({c: F.coalesce(F.col(c).cast("double"), nan) for c in ("start", "end")})
+    both = listed(fresh(expected, *by, "index", "token"), "l", "token").join(fresh(crops, *by, "duration"), list(by)).join(listed(timed, "r", "token", "start", "end"), list(by))
+    found = both.withColumn("x", _placed("l.token", "r.token", "r.start", "r.end", F.coalesce(F.col("duration").cast("double"), nan)))
+    found = found.filter("x.mode is not null").select(*by, "x.mode", F.explode(F.arrays_zip(F.col("l.index").alias("index"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))).alias("w"))
+    return found.select(*by, F.col("w.index").cast("bigint").alias("index"), "w.start", "w.end", "mode")
 
 
 def bisected(segments: DataFrame) -> DataFrame:

@@ -338,14 +338,13 @@ def character_bounds(spark, sf):
 @query("character_alignment")
 def character_alignment(spark, sf):
     """Every document's words, crop by crop of 60, from pieces of two of them, some letters lost."""
-    crop = F.struct("doc_id", F.expr("index div 60").alias("crop")).alias("doc_id")
-    words = word_index(spark, sf).select(crop, "index", F.lower("clean").alias("token"))
-    pieces = words.withColumn("pair", F.expr("index div 2")).groupBy("doc_id", "pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "token"))), lambda w: w["token"]), "").alias("token"))
+    crop = ("doc_id", "crop")  # words come dealt by document: they are gathered where they are
+    words = word_index(spark, sf).select("doc_id", F.expr("index div 60").alias("crop"), "index", F.lower("clean").alias("token"))
+    pieces = words.withColumn("pair", F.expr("index div 2")).groupBy(*crop, "pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "token"))), lambda w: w["token"]), "").alias("token"))
     at = F.col("pair") % 30
-    pieces = pieces.select("doc_id", F.col("pair").alias("index"), F.when(F.col("pair") % 3 == 0, F.expr("substring(token, 2)")).otherwise(F.col("token")).alias("token"), (at * 1.0).alias("start"), (at + 0.9).alias("end"))
-    words, pieces = (side.withColumn("doc_id", F.to_json("doc_id")) for side in (words, pieces))
-    found = A.align_characters(words, pieces, words.select("doc_id").distinct().withColumn("duration", F.lit(30.0)))
-    return found.select(F.get_json_object("doc_id", "$.doc_id").cast("bigint").alias("doc_id"), "index", "start", "end", "mode")
+    pieces = pieces.select(*crop, F.col("pair").alias("index"), F.when(F.col("pair") % 3 == 0, F.expr("substring(token, 2)")).otherwise(F.col("token")).alias("token"), (at * 1.0).alias("start"), (at + 0.9).alias("end"))
+    found = A.align_characters(words, pieces, words.select(*crop).distinct().withColumn("duration", F.lit(30.0)), crop)
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "index", "start", "end", "mode")
 
 
 @query("bisected_segments", f"""WITH {MS}, s AS (SELECT doc_id, 'c' || (index // 9) AS id, min(index) AS a, max(index) + 1 AS b FROM wm GROUP BY doc_id, index // 9), h AS (SELECT doc_id, id, a, b, unnest([0, 1]) AS k FROM s WHERE b - a > 1)
