@@ -1,5 +1,6 @@
 import difflib
 import random
+import re
 
 import pytest
 from wordloom.operators import quality
@@ -44,6 +45,20 @@ def test_alignment(monkeypatch, columns):
         assert quality._alignment(a, b) == plain(a, b)
 
 
+@pytest.mark.parametrize("columns", [7, 3, 1])
+def test_alignment_of_a_table_not_held(monkeypatch, columns):
+    monkeypatch.setattr(quality, "HELD_BYTES", 0)
+    test_alignment(monkeypatch, columns)
+
+
+def test_no_array_is_made_for_each_word(spark):
+    """A field of the array of words, taken within a lambda, would be gathered anew for each word: quadratic work."""
+    words = spark.createDataFrame([(1, 0, "one", "one", 0.0, 0.5)], "doc_id int, index int, text string, token string, start double, end double")
+    for df in (quality.quality_report(words, words), quality.alignments(words, words)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction" in plan and not re.search(r"[lr]#\d+\.\w+\[", plan)
+
+
 def test_wer_report_has_all_words(spark):
     want = {r.doc_id: r["count"] for r in word_index(spark, SF).groupBy("doc_id").count().collect()}
     got = {r.doc_id: r.reference_word_count for r in QUERIES["wer_report"](spark, SF).collect()}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from wordloom.functions import text as T
 from wordloom.operators.anchors import fresh
@@ -131,7 +133,9 @@ def edit_distance(a: list, b: list) -> int:
 def _bits(places: dict, wanted: set) -> dict:
     out = {}
     for token, own in places.items():
-        if token in wanted:
+        if token in wanted and len(own) == 1:
+            out[token] = 1 << own[0]
+        elif token in wanted:
             raw = bytearray(own[-1] // 8 + 1)
             for i in own:
                 raw[i >> 3] |= 1 << (i & 7)
@@ -149,29 +153,30 @@ def word_distance(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.withColumn("distance", _distances(F.col(left), F.col(right)))
 
 
-#: Of so many columns of the cost table one is kept; those between are computed again for the path.
-KEPT_COLUMNS = 256
+#: A cost table of at most about so many bytes is held whole. Of a larger one a column in KEPT_COLUMNS is kept; those between are
+#: computed again for the path.
+HELD_BYTES, KEPT_COLUMNS = 1 << 26, 256
 
 
-def _columns(places: dict, n: int, gold: list, state: tuple[int, int], begin: int, end: int):
-    """Columns begin + 1 .. end of the cost table, each as four numbers of n bits: where costs rise and fall down the column,
-    and where they rise and fall from the column before."""
-    full, (up, down) = (1 << n) - 1, state
-    for token in gold[begin:end]:
+def _columns(places: dict, n: int, gold: list, state: tuple[int, int]) -> tuple[list[tuple[int, int]], tuple[int, int]]:
+    """The columns of the cost table for the tokens of `gold`, from the state before them, and the state after them. Of a
+    column two numbers of n bits: where a cost equals the one before it on the diagonal, and where costs rise down it."""
+    full, (up, down), out = (1 << n) - 1, state, []
+    for token in gold:
         same = places.get(token, 0)
-        level = same | down
-        across = (((same & up) + up) ^ up) | same
-        rises, falls = down | (full & ~(across | up)), up & across
-        before, after = (rises << 1 | 1) & full, (falls << 1) & full
-        up, down = after | (full & ~(level | before)), before & level
-        yield up, down, rises, falls
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        rises = (down | (level | up) ^ full) << 1 | 1
+        up = ((level & up) << 1 | ~(level | rises)) & full
+        down = rises & level
+        out.append((level, up))
+    return out, (up, down)
 
 
 def _alignment(predicted: list[str], gold: list[str]) -> tuple[int, list[tuple[int, int]]]:
     """Edit distance and the pairs of equal tokens on one best path: kept on the diagonal where tokens are equal, and of
     equal costs a substitution before a deletion before an insertion.
 
-    The table is held as the bits of whole numbers (see edit_distance), one column in KEPT_COLUMNS of it at a time.
+    The table is held as the bits of whole numbers (see edit_distance), whole or one column in KEPT_COLUMNS.
     """
     n, m = len(predicted), len(gold)
     if not n or not m:
@@ -179,44 +184,69 @@ def _alignment(predicted: list[str], gold: list[str]) -> tuple[int, list[tuple[i
     seen: dict = {}
     for i, token in enumerate(predicted):
         seen.setdefault(token, []).append(i)
-    places, cost, last = _bits(seen, set(gold)), n, n - 1
-    kept, state = {0: ((1 << n) - 1, 0)}, ((1 << n) - 1, 0)
-    for j, (up, down, rises, falls) in enumerate(_columns(places, n, gold, state, 0, m), 1):
-        cost += (rises >> last & 1) - (falls >> last & 1)
-        if j % KEPT_COLUMNS == 0:
-            kept[j] = up, down
-    i, j, pairs, block, held = n, m, [], None, []
+    places, wide = _bits(seen, set(gold)), m if (n // 3 + 128) * m <= HELD_BYTES else KEPT_COLUMNS
+    kept, state = [], ((1 << n) - 1, 0)
+    for begin in range(0, m, wide):
+        kept.append(state)
+        held, state = _columns(places, n, gold[begin : begin + wide], state)
+    i, j, pairs, edits, block = n, m, [], 0, (m - 1) // wide
     while i and j:
-        if predicted[i - 1] == gold[j - 1]:
-            i, j = i - 1, j - 1
+        i, j = i - 1, j - 1
+        if predicted[i] == gold[j]:
             pairs.append((i, j))
             continue
-        if (j - 1) // KEPT_COLUMNS != block:
-            block = (j - 1) // KEPT_COLUMNS
-            begin = block * KEPT_COLUMNS
-            held = list(_columns(places, n, gold, kept[begin], begin, j))
-        up, down, rises, falls = held[j - 1 - block * KEPT_COLUMNS]
-        step = (up >> i - 1 & 1) - (down >> i - 1 & 1)  # from the cell above
-        side = (rises >> i - 2 & 1) - (falls >> i - 2 & 1) if i > 1 else 1  # of the row above, from the column before
-        if step + side == 1:
-            i, j = i - 1, j - 1
-        elif step == 1:
-            i -= 1
-        else:
-            j -= 1
-    return cost, pairs[::-1]
-
-
-ALIGNED = StructType([StructField("distance", LongType()), StructField("a", ArrayType(IntegerType())), StructField("b", ArrayType(IntegerType()))])
-
-
-@F.pandas_udf(ALIGNED)
-def _aligned(predicted: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    rows = []
-    for left, right in zip(predicted, gold, strict=True):
-        distance, pairs = _alignment(list(left), list(right))
-        rows.append((distance, [i for i, _ in pairs], [j for _, j in pairs]))
-    return pd.DataFrame(rows, columns=ALIGNED.names)
+        edits += 1
+        if j // wide != block:
+            block = j // wide
+            held, _ = _columns(places, n, gold[block * wide : j + 1], kept[block])
+        level, up = held[j - block * wide]
+        if level >> i & 1:  # not a substitution
+            if up >> i & 1:
+                j += 1
+            else:
+                i += 1
+    return edits + i + j, pairs[::-1]
+
+
+ALIGNED = StructType([StructField("distance", LongType()), StructField("a", ArrayType(IntegerType())), StructField("b", ArrayType(IntegerType())), StructField("empty", BooleanType())])
+
+
+def _aligned_lists(predicted: pa.Array, gold: pa.Array, form) -> pa.Array:
+    """For two columns of word lists, compared by `form`: distance and pairs of _alignment, and if any word is empty then.
+    Different words of a batch get their form once; what is aligned are numbers."""
+    words = pa.concat_arrays([predicted.flatten(), gold.flatten()]).dictionary_encode()
+    numbers: dict[str, int] = {"": 0}
+    own = np.array([numbers.setdefault(form(w), len(numbers)) for w in words.dictionary.to_pylist()], np.int64)
+    codes = own[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+    sizes = np.concatenate([pc.list_value_length(side).to_numpy(zero_copy_only=False) for side in (predicted, gold)])
+    ends, n = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), len(predicted)
+    distances, empty, left, right = [], [], [], []
+    for k in range(n):
+        both = [codes[ends[i] : ends[i + 1]] for i in (k, n + k)]
+        distance, pairs = _alignment(*(x.tolist() for x in both))
+        distances.append(distance)
+        empty.append(not all(x.all() for x in both))
+        found = np.array(pairs, np.int32).reshape(-1, 2)
+        left.append(found[:, 0])
+        right.append(found[:, 1])
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in left]))), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *side]))) for side in (left, right)]
+    return pa.StructArray.from_arrays([pa.array(distances, pa.int64()), *lists, pa.array(empty, pa.bool_())], names=["distance", "a", "b", "empty"])
+
+
+@F.arrow_udf(ALIGNED)
+def _aligned(predicted: pa.Array, gold: pa.Array) -> pa.Array:
+    return _aligned_lists(predicted, gold, str)
+
+
+@F.arrow_udf(ALIGNED)
+def _aligned_normal(predicted: pa.Array, gold: pa.Array) -> pa.Array:
+    return _aligned_lists(predicted, gold, T.normal_form)
+
+
+def _at(words: str, place: Column, field: str) -> Column:
+    """A field of one of an array of words. The word comes first: an array of the field would be made for every place anew."""
+    return F.get(F.col(words), place)[field]
 
 
 def align_words(predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -230,11 +260,11 @@ def alignments(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     alignment as structs of both indexes (J3, A11). Tokens are gathered on the JVM; a batch of documents is aligned at once."""
 
     def listed(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", F.coalesce("token", F.lit("")).alias("token")))).alias(name))
+        return side.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("index", F.coalesce("token", F.lit("")).alias("token")))).alias(name))
 
     both = listed(fresh(predicted, "doc_id", "index", "token"), "l").join(listed(fresh(gold, "doc_id", "index", "token"), "r"), "doc_id")
     found = both.withColumn("x", _aligned(F.col("l.token"), F.col("r.token")))
-    pairs = F.transform(F.arrays_zip("x.a", "x.b"), lambda p: F.struct(F.get("l.index", p["a"]).alias("a"), F.get("r.index", p["b"]).alias("b")))
+    pairs = F.transform(F.arrays_zip("x.a", "x.b"), lambda p: F.struct(_at("l", p["a"], "index").alias("a"), _at("r", p["b"], "index").alias("b")))
     return found.select("doc_id", "x.distance", pairs.alias("pairs"))
 
 
@@ -263,19 +293,19 @@ def quality_report(predicted: DataFrame, gold: DataFrame, metadata: DataFrame |
     own = F.coalesce(F.nullif("clean", F.lit("")), "text") if "clean" in predicted.columns else F.col("text")
 
     def listed(side: DataFrame, word: Column, name: str) -> DataFrame:
-        words = side.select("doc_id", "index", F.coalesce(T.normalize_word(word), F.lit("")).alias("token"), "start", "end")
-        return words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "token", "start", "end"))).alias(name))
+        words = side.select("doc_id", "index", F.coalesce(word, F.lit("")).alias("text"), "start", "end")
+        return words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("index", "text", "start", "end"))).alias(name))
 
-    # a document's words meet in one row: nothing is joined word by word
-    both = listed(predicted, own, "l").join(listed(gold, F.col("text"), "r"), "doc_id").withColumn("x", _aligned(F.col("l.token"), F.col("r.token")))
+    # a document's words meet in one row: nothing is joined word by word. They are normalised there, as Python in between
+    # would make Spark forget how its input is dealt out, and move all words again
+    both = listed(predicted, own, "l").join(listed(gold, F.col("text"), "r"), "doc_id").withColumn("x", _aligned_normal(F.col("l.text"), F.col("r.text")))
 
     def apart(p: Column, side: str) -> Column:
-        return F.abs(F.get(F.col(f"l.{side}"), p["a"]) - F.get(F.col(f"r.{side}"), p["b"]))
+        return F.abs(_at("l", p["a"], side) - _at("r", p["b"], side))
 
-    errors = F.array_sort(F.flatten(F.transform(F.arrays_zip("x.a", "x.b"), lambda p: F.array(apart(p, "start"), apart(p, "end")))))
+    errors = F.sort_array(F.flatten(F.transform(F.arrays_zip("x.a", "x.b"), lambda p: F.array(apart(p, "start"), apart(p, "end")))))
     n_p, n_g = F.size("l").cast("bigint").alias("n_p"), F.size("r").cast("bigint").alias("n_g")
-    empty = F.exists("l.token", lambda t: t == "") | F.exists("r.token", lambda t: t == "")
-    out = both.select("doc_id", n_p, n_g, "x.distance", F.size("x.a").cast("bigint").alias("matched"), errors.alias("errors"), empty.alias("empty"))
+    out = both.select("doc_id", n_p, n_g, "x.distance", F.size("x.a").cast("bigint").alias("matched"), errors.alias("errors"), F.col("x.empty").alias("empty"))
     out = out.join(metadata, "doc_id", "left") if metadata is not None else out.withColumns({"effective_words": F.lit(0), "coverage": F.lit(None).cast("double")})
     unsound = F.exists("errors", lambda e: e.isNull() | F.isnan(e) | (e == F.lit(float("inf"))))
     out = out.withColumn("problem", F.when(F.col("empty"), "empty token").when(unsound, "bound not finite"))

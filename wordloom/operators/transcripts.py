@@ -18,13 +18,16 @@ def word_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Blank lines don't count, nor do tokens with neither letter, digit nor apostrophe. A byte order mark is dropped.
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(text_col, "^﻿", ""), "\n")).alias("line", "t"))
-    lines = lines.filter(F.size(T.tokens(F.col("t"))) > 0)
-    in_doc = Window.partitionBy("doc_id")
-    lines = lines.withColumn("sentence_index", (F.row_number().over(in_doc.orderBy("line")) - 1).cast("bigint"))
-    both = F.arrays_zip(T.tokens(F.col("t")).alias("text"), T.clean_words(F.col("t")).alias("clean"))
-    words = lines.select("doc_id", "sentence_index", F.posexplode(both).alias("pos", "w")).select("doc_id", "sentence_index", "pos", "w.text", "w.clean").filter("clean <> ''")
-    order = in_doc.orderBy("sentence_index", "pos")
-    return words.select("doc_id", (F.row_number().over(order) - 1).cast("bigint").alias("index"), "text", "clean", "sentence_index")
+    # lines move as they are, with clean words (which hold no blanks) only where Python has to make them; words are neither moved nor sorted
+    lines = lines.filter(F.col("t").rlike(T.NOT_BLANK)).withColumn("made", F.array_join(T.odd_clean_words(F.col("t")), " "))
+    lines = lines.repartition("doc_id").sortWithinPartitions("doc_id", "line")
+    order = Window.partitionBy("doc_id").orderBy("line")
+    lines = lines.withColumn("sentence_index", (F.row_number().over(order) - 1).cast("bigint")).withColumn("words", T.tokens(F.col("t")))
+    clean = F.coalesce(F.split("made", " "), F.transform("words", T.plain_clean_word))
+    lines = lines.withColumn("words", F.filter(F.arrays_zip(F.col("words").alias("text"), clean.alias("clean")), lambda w: w["clean"] != ""))
+    before = F.sum(F.size("words")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.size("words")
+    words = lines.select("doc_id", "sentence_index", before.alias("before"), "words").select("doc_id", "sentence_index", "before", F.posexplode("words").alias("pos", "w"))
+    return words.select("doc_id", (F.col("before") + F.col("pos")).alias("index"), "w.text", "w.clean", "sentence_index")
 
 
 def ranges(words: DataFrame, group: str = "sentence_index") -> DataFrame:
