@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,14 @@ def collect_garbage(spark: SparkSession) -> None:
         jvm.System.gc()
 
 
+def release_memory() -> None:
+    """Gives back what a Python worker has freed: workers are used again for other tasks, and Arrow and the C library keep
+    freed memory, which an executor's workers then hold beside its heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not on glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """`df` written, and what only older steps needed let go."""
     out = written(df)
