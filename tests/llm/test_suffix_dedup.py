@@ -83,3 +83,18 @@ def test_blocks_change_no_item(monkeypatch):
     assert all(h == int(sd.gram_hashes(raw, q, q + 1).view("<i8")[0]) and q - 76 <= p <= q for h, q, p in windows(anchors))
     for p in range(0, len(raw) - 99, 97):  # every window is in an item
         assert any(a <= p and p + 100 <= b for a, b in whole)
+
+
+def test_memory_of_a_shard():
+    """Of a shard's arrays, most of an executor's memory beside its heap: at most 70 bytes a symbol."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    base = [bytes(rng.choices(b"abcdefgh ", k=400)) for _ in range(50)]
+    contexts = [b[a : a + rng.randrange(100, 176)] for b, a in ((rng.choice(base), rng.randrange(200)) for _ in range(3000))]
+    tracemalloc.start()
+    try:
+        sd.repeated_windows(contexts)
+        assert tracemalloc.get_traced_memory()[1] < 70 * sum(map(len, contexts))
+    finally:
+        tracemalloc.stop()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import collect_garbage, delete_path, join_counted, shared_folder, shuffle_partitions, table, tidy, undone_by, written
+from wordloom.llm.common import collect_garbage, delete_path, join_counted, release_memory, shared_folder, shuffle_partitions, table, tidy, undone_by, written
 
 #: Bytes of a string whose repeats are removed.
 MINIMUM = 100
@@ -83,6 +83,7 @@ def _item_digests(batches):
                 digests.append(hashlib.blake2b(raw[a:b], digest_size=16).digest())
         h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(packed, pa.int64())], names=["h1", "h2", "place"])
+    release_memory()
 
 
 def open_windows(raw: bytes, firsts: list[int]) -> np.ndarray:
@@ -142,6 +143,7 @@ def _anchors(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(a[:, 0]), pa.array(keys, pa.int64()), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2].astype(np.int32))], names=["h", "key", "lo", "form"]
         )
+    release_memory()
 
 
 def _contexts(batches):
@@ -153,25 +155,25 @@ def _contexts(batches):
                 for column, value in zip(out, (r["h"], key, r["lo"], r["form"], raw[r["lo"] : r["lo"] + (r["form"] >> 7) + MINIMUM]), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "key", "lo", "form", "context"])
+    release_memory()
 
 
 def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
     """Suffixes in the order of their first `length` symbols or more, by prefix doubling. Symbols are below 512."""
     n, done = len(text), 7
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(done, np.uint64)])
+    padded = np.concatenate([text.astype(np.uint16) + np.uint16(1), np.zeros(done, np.uint16)])
     key = np.zeros(n, np.uint64)
     for k in range(done):
         key = key << np.uint64(9) | padded[k : k + n]
     while True:
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32)  # a shard is far below 2^31 symbols: half the memory
         key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], key[1:] != key[:-1])))
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.cumsum(np.concatenate(([True], key[1:] != key[:-1])), dtype=np.uint32)
         if done >= length or rank[order[-1]] == n:
             return order
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - done)] = rank[done:]
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
+        key = rank.astype(np.uint64) << np.uint64(32)
+        key[: max(0, n - done)] |= rank[done:]
         done *= 2
 
 
@@ -184,11 +186,11 @@ def long_prefix_rows(text: np.ndarray, order: np.ndarray, minimum: int) -> np.nd
     by increasing l, each once, and the search ends at the minimum: what has no value then shares more.
     """
     n = len(order)
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
     first = text[order]
     known = np.concatenate(([True], first[1:] != first[:-1]))  # rows that share nothing with the row before
-    todo = np.flatnonzero(~known)
+    todo = np.flatnonzero(~known).astype(np.int32)
     ends = order + 1 == n  # the last symbol has no tail: what would extend it shares one symbol
     tail = row[np.minimum(order + 1, n - 1)]
     short = ends[todo] | ends[todo - 1]
@@ -256,6 +258,7 @@ def _shard_repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(pdf) > 1:
         masks, seen = repeated_windows(list(first)), set()
+        release_memory()  # the next shard's arrays are of other sizes
         for key, lo, context, k in zip(pdf["key"].tolist(), pdf["lo"].tolist(), pdf["context"], which, strict=True):
             out += [(key, lo, lo + len(context) - MINIMUM + 1)] if k in seen else [(key, lo + a, lo + b) for a, b in runs(masks[k]).tolist()]
             seen.add(k)
@@ -273,6 +276,7 @@ def _window_digests(batches):
                 digests.append(hashlib.blake2b(context[k : k + MINIMUM], digest_size=16).digest())
         h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(keys, pa.int64()), pa.array(starts, pa.int32())], names=["h1", "h2", "key", "start"])
+    release_memory()
 
 
 def removed_bytes(raw: bytes, firsts: list[int], repeats: list, hot: list, hot_firsts: list) -> np.ndarray:
@@ -307,6 +311,7 @@ def _removed(batches):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+    release_memory()
 
 
 def within(key: int, k: int) -> int:
