@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from functools import partial
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ MINIMUM = 100
 GRAM = 24
 #: Segments are cut where a gram's hash has so many zero bits at its end, MINIMUM bytes or more apart.
 CUT_BITS = 8
-#: Bytes of a text that are looked at in one step.
-BLOCK = 1 << 20
+#: Bytes that are looked at in one step, of one text or of short ones that follow each other: its arrays stay in the cache.
+BLOCK = 1 << 16
 #: Bytes of context that one suffix array is meant to hold, and contexts of one anchor that go into one at most.
 SHARD_BYTES, MOST_CONTEXTS = 1 << 20, 1 << 14
 #: A window has so many bytes beside its anchor, on one side or the other, at least.
@@ -34,7 +35,7 @@ MULT = 0x9E3779B97F4A7C15
 FIRST_KEY_BITS = 62 - ORD_BITS
 
 
-def gram_hashes(raw: bytes, begin: int, end: int) -> np.ndarray:
+def gram_hashes(raw: bytes | np.ndarray, begin: int, end: int) -> np.ndarray:
     """64-bit hashes of the grams that begin at begin..end-1 (shorter at the end of the text: as many as there are)."""
     part = np.frombuffer(raw, np.uint8, min(end + GRAM - 1, len(raw)) - begin, begin)
     h, n, power = part.astype(np.uint64) + np.uint64(1), 1, MULT
@@ -51,66 +52,127 @@ def gram_hashes(raw: bytes, begin: int, end: int) -> np.ndarray:
     return done ^ (done >> np.uint64(29))
 
 
-def items(raw: bytes) -> list[tuple[int, int]]:
-    """Spans (start, end), in order of start, such that every window of MINIMUM bytes lies inside one.
+class Items(NamedTuple):
+    """Items of texts that lie one after the other: the text's number, the item's number within it, start and end."""
+
+    text: np.ndarray
+    nth: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def items_within(raw: np.ndarray, bounds: np.ndarray) -> Items:
+    """The items of the texts raw[bounds[k] : bounds[k + 1]], in order: spans such that every window of MINIMUM bytes of a
+    text lies inside one.
 
     They are the segments between content-defined cuts, and a bridge around each cut with the windows that cross it.
     """
-    n = len(raw)
-    if n < MINIMUM:
-        return []
-    cuts, last = [0], 0
-    for at in range(0, n, BLOCK):
-        h = gram_hashes(raw, at, min(at + BLOCK, n))
-        for c in (np.flatnonzero(h & np.uint64((1 << CUT_BITS) - 1) == 0) + at).tolist():
-            if c - last >= MINIMUM and n - c >= MINIMUM:
-                cuts.append(c)
-                last = c
-    cuts.append(n)
-    out = [(0, cuts[1])]
-    for c, d in zip(cuts[1:-1], cuts[2:], strict=True):
-        out += [(c - MINIMUM + 1, c + MINIMUM - 1), (c, d)]
+    mask = np.uint64((1 << CUT_BITS) - 1)
+    found = [np.flatnonzero(gram_hashes(raw, at, min(at + BLOCK, len(raw))) & mask == 0) + at for at in range(0, len(raw) - GRAM + 1, BLOCK)]
+    places = np.concatenate([np.zeros(0, np.int64), *found])
+    text = np.searchsorted(bounds, places, "right") - 1
+    places = places[(places - bounds[text] >= MINIMUM) & (bounds[text + 1] - places >= MINIMUM)]
+    cuts, last = [], -MINIMUM  # a text's first cut is MINIMUM bytes or more from the last one of the text before
+    for c in places.tolist():
+        if c - last >= MINIMUM:
+            cuts.append(c)
+            last = c
+    long = np.flatnonzero(np.diff(bounds) >= MINIMUM)
+    start = np.sort(np.concatenate((bounds[long], np.array(cuts, np.int64))))
+    text = np.searchsorted(bounds, start, "right") - 1
+    is_cut = start != bounds[text]
+    end = np.append(start[1:], 0)
+    lasts = np.append(text[1:] != text[:-1], True)[: len(text)]
+    end[lasts] = bounds[text[lasts] + 1]
+    at = np.cumsum(1 + is_cut) - 1  # a segment after a cut comes behind its bridge
+    n = at[-1] + 1 if len(at) else 0
+    out = Items(*(np.empty(n, np.int64) for _ in range(4)))
+    out.text[at], out.start[at], out.end[at] = text, start, end
+    bridge = at[is_cut] - 1
+    out.text[bridge], out.start[bridge], out.end[bridge] = text[is_cut], start[is_cut] - MINIMUM + 1, start[is_cut] + MINIMUM - 1
+    out.nth[:] = np.arange(n) - np.repeat(at[~is_cut], np.diff(np.append(at[~is_cut], n)))
     return out
 
 
+def items(raw: bytes) -> list[tuple[int, int]]:
+    """Spans (start, end) of one text's items."""
+    found = items_within(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return list(zip(found.start.tolist(), found.end.tolist(), strict=True))
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column, and the bounds between them."""
+    column = column.fill_null("").cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, bounds, raw = column.buffers()
+    return np.frombuffer(raw or b"", np.uint8), np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of a column of lists (null: empty): the row of each value, the values, and the bounds between rows."""
+    rows = pc.list_parent_indices(column).to_numpy()
+    return rows, column.flatten(), np.searchsorted(rows, np.arange(len(column) + 1))
+
+
+def _steps(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have about BLOCK bytes together, or are one longer text."""
+    i = 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def _item_digests(batches):
     for batch in batches:
-        packed, digests = [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = (text.as_py() or "").encode()
-            for k, (a, b) in enumerate(items(raw)):
-                packed.append(within(key, k))
-                digests.append(hashlib.blake2b(raw[a:b], digest_size=16).digest())
+        raw, bounds = _texts(batch.column(1))
+        keys, packed, digests = batch.column(0).to_numpy(), [], []
+        for i, j in _steps(bounds):
+            part = raw[bounds[i] : bounds[j]]
+            found, whole = items_within(part, bounds[i : j + 1] - bounds[i]), part.tobytes()
+            within(0, int(found.nth.max(initial=0)))  # raises where there are too many
+            packed.append(keys[i:j][found.text] << ORD_BITS | found.nth)
+            digests += [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
         h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(packed, pa.int64())], names=["h1", "h2", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.concatenate([np.zeros(0, np.int64), *packed]))], names=["h1", "h2", "place"])
     release_memory()
 
 
-def open_windows(raw: bytes, firsts: list[int]) -> np.ndarray:
-    """Which windows aren't known to be repeats: those in no item but items that are the first of their kind."""
-    n = len(raw) - MINIMUM + 1
-    if n <= 0:
-        return np.zeros(0, bool)
-    is_open, first = np.ones(n, bool), set(firsts)
-    for k, (a, b) in enumerate(items(raw)):
-        if k not in first:
-            is_open[a : b - MINIMUM + 1] = False
+def open_within(raw: np.ndarray, bounds: np.ndarray, texts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where windows begin that aren't known to be repeats: those in no item but items that are the first of their kind
+    (item firsts[k] of text texts[k])."""
+    is_open = np.zeros(max(0, len(raw) - MINIMUM + 1), bool)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        is_open[a : max(a, b - MINIMUM + 1)] = True
+    found = items_within(raw, bounds)
+    is_first = np.zeros(len(found.text), bool)
+    is_first[np.searchsorted(found.text, texts) + firsts] = True
+    for a, b in zip(found.start[~is_first].tolist(), found.end[~is_first].tolist(), strict=True):
+        is_open[a : b - MINIMUM + 1] = False
     return is_open
 
 
+def open_windows(raw: bytes, firsts: list[int]) -> np.ndarray:
+    """The same of one text, for each of its windows; firsts may hold items that it doesn't have."""
+    n = len(items(raw))
+    own = np.array([k for k in firsts if k < n], np.int64)
+    return open_within(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), np.zeros(len(own), np.int64), own)
+
+
 def runs(mask: np.ndarray) -> np.ndarray:
     """(start, end) of the runs of true."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
     return edge.reshape(-1, 2)
 
 
-def anchored(raw: bytes, is_open: np.ndarray) -> list[tuple[int, int, int]]:
-    """(hash of the anchor, first window, form) for each stretch of open windows that share an anchor. The form tells
+def anchored(raw: bytes | np.ndarray, is_open: np.ndarray) -> np.ndarray:
+    """Rows (hash of the anchor, first window, form), one for each stretch of open windows that share an anchor. The form tells
     how far from the first window the last one and the anchor are: 128 * one + the other.
 
     The anchor depends on the window's bytes alone: equal windows have anchors of equal hash.
     """
-    out, reach, bits = [], MINIMUM - GRAM + 1, np.uint64((1 << 21) - 1)
+    out, reach, bits = [np.zeros((0, 3), np.int64)], MINIMUM - GRAM + 1, np.uint64((1 << 21) - 1)
     for at in range(0, len(is_open), BLOCK):
         stop = min(at + BLOCK, len(is_open))
         if not is_open[at:stop].any():
@@ -127,40 +189,46 @@ def anchored(raw: bytes, is_open: np.ndarray) -> list[tuple[int, int, int]]:
         keep = is_open[at + begins]
         begins, ends = begins[keep], ends[keep]
         form = (ends - begins) * 128 + anchor[begins] - begins
-        out += zip(h[anchor[begins]].view(np.int64).tolist(), (begins + at).tolist(), form.tolist(), strict=True)
-    return out
+        out.append(np.column_stack((h[anchor[begins]].view(np.int64), begins + at, form)))
+    return np.concatenate(out)
 
 
 def _anchors(batches):
     for batch in batches:
-        keys, rows = [], []
-        for key, text, firsts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = (text.as_py() or "").encode()
-            own = anchored(raw, open_windows(raw, firsts))
-            keys += [key] * len(own)
-            rows += own
-        a = np.array(rows, np.int64).reshape(-1, 3)
+        raw, bounds = _texts(batch.column(1))
+        rows, firsts, at = _listed(batch.column(2))
+        keys, firsts, out = batch.column(0).to_numpy(), firsts.to_numpy(), [np.zeros((0, 4), np.int64)]
+        for i, j in _steps(bounds):
+            part, own = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            found = anchored(part, open_within(part, own, rows[at[i] : at[j]] - i, firsts[at[i] : at[j]]))
+            text = np.searchsorted(own, found[:, 1], "right") - 1
+            out.append(np.column_stack((found[:, 0], keys[i:j][text], found[:, 1] - own[text], found[:, 2])))
+        a = np.concatenate(out)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a[:, 0]), pa.array(keys, pa.int64()), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2].astype(np.int32))], names=["h", "key", "lo", "form"]
+            [pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3].astype(np.int32))], names=["h", "key", "lo", "form"]
         )
     release_memory()
 
 
 def _contexts(batches):
     for batch in batches:
-        out = ([], [], [], [], [])
-        for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = (text.as_py() or "").encode()
-            for r in found:
-                for column, value in zip(out, (r["h"], key, r["lo"], r["form"], raw[r["lo"] : r["lo"] + (r["form"] >> 7) + MINIMUM]), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "key", "lo", "form", "context"])
+        raw, bounds = _texts(batch.column(1))
+        rows, found, at = _listed(batch.column(2))
+        h, lo, form = (found.field(name) for name in ("h", "lo", "form"))
+        starts = bounds[rows] + lo.to_numpy()
+        stops, out = starts + (form.to_numpy() >> 7) + MINIMUM, []
+        for i, j in _steps(bounds):
+            whole, base = raw[bounds[i] : bounds[j]].tobytes(), bounds[i]
+            out += [whole[a:b] for a, b in zip((starts[at[i] : at[j]] - base).tolist(), (stops[at[i] : at[j]] - base).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([h, batch.column(0).take(pa.array(rows)), lo, form, pa.array(out, pa.binary())], names=["h", "key", "lo", "form", "context"])
     release_memory()
 
 
 def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes in the order of their first `length` symbols or more, by prefix doubling. Symbols are below 512."""
+    """Suffixes in the order of their first `length` symbols or more, by prefix tripling (doubling, if three ranks
+    don't go into 64 bits). Symbols are below 512."""
     n, done = len(text), 7
+    times = 3 if n < 1 << 21 else 2
     padded = np.concatenate([text.astype(np.uint16) + np.uint16(1), np.zeros(done, np.uint16)])
     key = np.zeros(n, np.uint64)
     for k in range(done):
@@ -172,9 +240,11 @@ def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
         rank[order] = np.cumsum(np.concatenate(([True], key[1:] != key[:-1])), dtype=np.uint32)
         if done >= length or rank[order[-1]] == n:
             return order
-        key = rank.astype(np.uint64) << np.uint64(32)
-        key[: max(0, n - done)] |= rank[done:]
-        done *= 2
+        key = rank.astype(np.uint64)
+        for k in range(1, times):
+            key <<= np.uint64(64 // times)
+            key[: max(0, n - k * done)] |= rank[k * done :]
+        done *= times
 
 
 def long_prefix_rows(text: np.ndarray, order: np.ndarray, minimum: int) -> np.ndarray:
@@ -184,33 +254,55 @@ def long_prefix_rows(text: np.ndarray, order: np.ndarray, minimum: int) -> np.nd
     in l symbols. Extended to the left by a symbol c, through the BWT's mapping from first to last column, two
     neighbouring rows that begin with c share 1 + the least of the prefixes between their tails. So rows get values
     by increasing l, each once, and the search ends at the minimum: what has no value then shares more.
+
+    Within a run of the BWT the tails are neighbours too, and a row has 1 + the value of its tail's row: it is told with
+    the next row on its way through the text whose tails aren't neighbours. Only those are looked at for each l.
     """
     n = len(order)
     row = np.empty(n, np.int32)
     row[order] = np.arange(n, dtype=np.int32)
     first = text[order]
-    known = np.concatenate(([True], first[1:] != first[:-1]))  # rows that share nothing with the row before
-    todo = np.flatnonzero(~known).astype(np.int32)
-    ends = order + 1 == n  # the last symbol has no tail: what would extend it shares one symbol
+    agree = np.concatenate(([False], first[1:] == first[:-1]))
     tail = row[np.minimum(order + 1, n - 1)]
-    short = ends[todo] | ends[todo - 1]
-    level_one = todo[short]
-    todo = todo[~short]
-    here, before = tail[todo], tail[todo - 1]
+    ended = np.flatnonzero(order + 1 == n)[0]  # the last symbol has no tail: what would extend it shares one symbol
+    short = np.zeros(n, bool)
+    short[ended : ended + 2] = agree[ended : ended + 2]
+    steps = np.concatenate(([0], np.diff(tail)))
+    free = ~(agree & (steps == 1)) | short  # rows that have no value by another row's
+    heads = np.flatnonzero(free[row])  # their places in the text
+    before = np.diff(heads, prepend=-1)  # how many places each tells: itself, and those before it up to the last head
+    value = np.full(n, minimum, np.uint16)
+
+    def tell(heads: np.ndarray, counts: np.ndarray, length: int) -> None:
+        counts = np.minimum(counts, minimum - length)
+        away = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        value[row[np.repeat(heads, counts) - away]] = away + length
+
+    own = row[heads]
+    none = ~agree[own]
+    tell(heads[none], before[none], 0)
+    one = short[own]
+    todo = ~none & ~one
+    one_heads, one_before = heads[one], before[one]
+    heads, before, own = heads[todo], before[todo], own[todo]
+    here, above = tail[own], tail[own - 1]
+    del first, agree, tail, short, steps, free  # as long as the text each
     for length in range(1, minimum):
-        bounds = np.cumsum(known, dtype=np.int32)
-        new = bounds[here] != bounds[before]
-        if length == 1:
-            known[level_one] = True
-        known[todo[new]] = True
-        todo, here, before = todo[~new], here[~new], before[~new]
-        if not len(todo):
+        if not len(heads) and length > 1:
             break
-    return ~known
+        bounds = np.cumsum(value < length, dtype=np.int32)
+        new = bounds[here] != bounds[above]
+        tell(heads[new], before[new], length)
+        if length == 1:
+            tell(one_heads, one_before, 1)
+        if new.any():
+            heads, before, here, above = heads[~new], before[~new], here[~new], above[~new]
+    return value == minimum
 
 
-def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each context, which of its windows equal one of an earlier context, or an earlier one of its own."""
+def repeated_places(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each context starts in their joint text, and which places of it begin a window that equals one of an earlier
+    context, or an earlier one of its own."""
     lengths = np.array([len(c) for c in contexts])
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
     text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.uint16)
@@ -221,7 +313,7 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
         is_window[s : s + n - MINIMUM + 1] = True
     rows = np.flatnonzero(is_window[order])
-    group = np.cumsum(~same)[rows]  # suffixes with the same prefix of MINIMUM bytes
+    group = np.cumsum(~same, dtype=np.int32)[rows]  # suffixes with the same prefix of MINIMUM bytes
     places = order[rows]
     repeat = np.zeros(len(text), bool)
     if len(rows):
@@ -229,14 +321,21 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
         least = np.minimum.reduceat(places, heads)
         repeat[places] = True
         repeat[least] = False
-    return [repeat[s : s + n - MINIMUM + 1] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    return starts, repeat
+
+
+def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
+    """For each context, which of its windows equal one of an earlier context, or an earlier one of its own."""
+    starts, repeat = repeated_places(contexts)
+    return [repeat[s : s + len(c) - MINIMUM + 1] for s, c in zip(starts.tolist(), contexts, strict=True)]
 
 
 def may_share(contexts: list[bytes], forms: list[int]) -> np.ndarray:
     """Which contexts can share a window with another one at all.
 
     Beside its anchor a window has BESIDE bytes on the left or on the right at least. So contexts that share one
-    agree in their anchor with that many bytes on one side; those that agree with none need no suffix array.
+    agree in their anchor with that many bytes on one side; those that agree with none need no suffix array. Two windows
+    of one context never are equal: their anchor is in one place, and not as far from the one as from the other.
     """
     sides: list[list[int]] = [[], []]
     for k, (context, form) in enumerate(zip(contexts, forms, strict=True)):
@@ -250,19 +349,24 @@ def may_share(contexts: list[bytes], forms: list[int]) -> np.ndarray:
     return found
 
 
-def _shard_repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["key", "lo"], ignore_index=True)
-    pdf = pdf[may_share(pdf["context"].tolist(), pdf["form"].tolist())]
-    first: dict[bytes, int] = {}  # of equal contexts, all windows of all but the first are repeats
-    which = [first.setdefault(c, len(first)) for c in pdf["context"]]
-    out = []
-    if len(pdf) > 1:
-        masks, seen = repeated_windows(list(first)), set()
+def _shard_repeats(shard: pa.Table) -> pa.Table:
+    key, lo, form = (shard.column(name).to_numpy() for name in ("key", "lo", "form"))
+    order = np.lexsort((lo, key))
+    key, lo, form = key[order], lo[order], form[order]
+    coded = shard.column("context").combine_chunks().take(pa.array(order)).dictionary_encode()
+    most = np.maximum.accumulate(coded.indices.to_numpy())
+    is_first = np.diff(most, prepend=-1) > 0  # of equal contexts, all windows of all but the first are repeats
+    out = [(key[~is_first], lo[~is_first], (lo + (form >> 7) + 1)[~is_first])]
+    contexts = coded.dictionary.to_pylist()
+    few = may_share(contexts, form[is_first].tolist())
+    if few.any():
+        starts, repeat = repeated_places([c for c, f in zip(contexts, few.tolist(), strict=True) if f])
+        spans = runs(repeat)
+        k = np.searchsorted(starts, spans[:, 0], "right") - 1
+        at = np.flatnonzero(is_first)[few][k]
+        out.append((key[at], lo[at] + spans[:, 0] - starts[k], lo[at] + spans[:, 1] - starts[k]))
         release_memory()  # the next shard's arrays are of other sizes
-        for key, lo, context, k in zip(pdf["key"].tolist(), pdf["lo"].tolist(), pdf["context"], which, strict=True):
-            out += [(key, lo, lo + len(context) - MINIMUM + 1)] if k in seen else [(key, lo + a, lo + b) for a, b in runs(masks[k]).tolist()]
-            seen.add(k)
-    return pd.DataFrame(out, columns=["key", "start", "stop"])
+    return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "start", "stop"])
 
 
 def _window_digests(batches):
@@ -279,38 +383,50 @@ def _window_digests(batches):
     release_memory()
 
 
-def removed_bytes(raw: bytes, firsts: list[int], repeats: list, hot: list, hot_firsts: list) -> np.ndarray:
-    """Which bytes a repeated window covers."""
-    n = len(raw)
-    if n < MINIMUM:
-        return np.zeros(n, bool)
-    repeated = ~open_windows(raw, firsts)
-    for r in repeats:
-        repeated[r["start"] : r["stop"]] = True
-    for r in hot:
-        repeated[r["lo"] : r["lo"] + (r["form"] >> 7) + 1] = True
-    repeated[hot_firsts] = False
-    depth = np.zeros(n + 1, np.int32)
-    for a, b in runs(repeated):
-        depth[a] += 1
-        depth[b + MINIMUM - 1] -= 1
-    return np.cumsum(depth[:-1]) > 0
+def removed_spans(raw: np.ndarray, bounds: np.ndarray, firsts: tuple, repeats: tuple, hot: tuple, hot_firsts: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What repeated windows cover: text, start and stop of each run, in order. The marks are the texts' numbers, and items,
+    starts and stops of windows, or starts of windows that are no repeats, within them."""
+    repeated = np.zeros(len(raw), bool)
+    is_open = open_within(raw, bounds, *firsts)
+    repeated[: len(is_open)] = ~is_open
+    for b in bounds[1:].tolist():  # no window begins there; a short text has none
+        repeated[max(0, b - MINIMUM + 1) : b] = False
+    for text, start, stop in (repeats, hot):
+        for a, b in zip((bounds[text] + start).tolist(), (bounds[text] + stop).tolist(), strict=True):
+            repeated[a:b] = True
+    repeated[bounds[hot_firsts[0]] + hot_firsts[1]] = False
+    spans = runs(repeated)
+    starts, stops = spans[:, 0], spans[:, 1] + MINIMUM - 1
+    text = np.searchsorted(bounds, starts, "right") - 1
+    new = np.ones(len(starts) + 1, bool)
+    new[1:-1] = (starts[1:] > stops[:-1]) | (text[1:] != text[:-1])
+    return text[new[:-1]], (starts - bounds[text])[new[:-1]], (stops - bounds[text])[new[1:]]
 
 
 def _removed(batches):
     for batch in batches:
-        out = ([], [], [], [], [])
-        columns = [batch.column(k) for k in range(6)]
-        for k in range(batch.num_rows):
-            doc_id, text, *marks = (c[k].as_py() for c in columns)
-            raw = (text or "").encode()
-            gone = removed_bytes(raw, *(m or [] for m in marks))
-            spans = runs(gone)
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            for column, value in zip(out, (doc_id, len(raw), int(gone.sum()), [{"start": int(a), "stop": int(b)} for a, b in spans], hashlib.sha256(kept).hexdigest()), strict=True):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+        raw, bounds = _texts(batch.column(1))
+        lists = [_listed(batch.column(k)) for k in range(2, 6)]
+        fields = [[lists[0][1].to_numpy()], [lists[1][1].field(c).to_numpy() for c in ("start", "stop")], [lists[2][1].field(c).to_numpy() for c in ("lo", "form")], [lists[3][1].to_numpy()]]
+        fields[2][1] = fields[2][0] + (fields[2][1] >> 7) + 1
+        out, hashes = [np.zeros((0, 3), np.int64)], []
+        for i, j in _steps(bounds):
+            part, own = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            marks = ((rows[at[i] : at[j]] - i, *(f[at[i] : at[j]] for f in columns)) for (rows, _, at), columns in zip(lists, fields, strict=True))
+            text, starts, stops = removed_spans(part, own, *marks)
+            out.append(np.column_stack((text + i, starts, stops)))
+            ends = [hashlib.sha256() for _ in range(i, j)]
+            whole, done = part.tobytes(), own[:-1].tolist()
+            for k, a, b in zip(text.tolist(), (own[text] + starts).tolist(), (own[text] + stops).tolist(), strict=True):
+                ends[k].update(whole[done[k] : a])
+                done[k] = b
+            for k, b in enumerate(own[1:].tolist()):
+                ends[k].update(whole[done[k] : b])
+            hashes += [e.hexdigest() for e in ends]
+        rows, starts, stops = np.concatenate(out).T
+        gone = np.bincount(rows, stops - starts, len(bounds) - 1).astype(np.int64)
+        spans = pa.ListArray.from_arrays(np.searchsorted(rows, np.arange(len(bounds))).astype(np.int32), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (starts, stops)], ["start", "stop"]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(gone), spans, pa.array(hashes, pa.string())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
     release_memory()
 
 
@@ -391,7 +507,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     shards = max(1, math.ceil((size or 0) / SHARD_BYTES))
     dealt = contexts(again.filter(~hot)).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    repeats = dealt.repartition(max(shuffle_partitions(spark), min(shards, 1 << 15)), "shard").groupBy("shard").applyInPandas(_shard_repeats, "key bigint, start int, stop int")
+    repeats = dealt.repartition(max(shuffle_partitions(spark), min(shards, 1 << 15)), "shard").groupBy("shard").applyInArrow(_shard_repeats, "key bigint, start int, stop int")
     repeats = tidy(repeats.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("repeats")))
 
     marked = texts.join(firsts, "key", "left").join(repeats, "key", "left")
