@@ -2,8 +2,9 @@
 
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
-from wordloom.llm import common
+from wordloom.llm import common, quality, shingle_dedup, simhash
 
 
 def session(master, folder=None):
@@ -46,3 +47,15 @@ def test_keep_one_each(spark):
     got = common.keep_one_each(docs, spark.createDataFrame([(1,), (2,), (None,)], "id bigint")).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "2", "None"]
     assert common.keep_one_each(docs, spark.createDataFrame([], "id bigint")).collect() == []
+
+
+@pytest.mark.parametrize("task", [lambda b: simhash._fingerprints(b, 3), lambda b: shingle_dedup._sketches(b, 5), lambda b: shingle_dedup._sets(b, 5), quality._features_of], ids=["fingerprints", "sketches", "sets", "features"])
+def test_tasks_give_memory_back_at_their_end(monkeypatch, task):
+    """A worker is used again by other stages: what it holds when idle adds to theirs."""
+    given = []
+    monkeypatch.setattr(common, "release_memory", lambda: given.append(len(seen)))
+    seen, batch = [], pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["a b c d e f", None], "quality": pa.array([1, 0], pa.int32())})
+    for found in task(iter([batch, batch])):
+        seen.append(found.num_rows)
+        assert not given
+    assert seen == [2, 2] and given == [2]

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import join_counted, lower_ascii, shuffle_partitions, split_by_suspicion, table, unused, written
+from wordloom.llm.common import join_counted, lower_ascii, releasing, shuffle_partitions, split_by_suspicion, table, unused, written
 
 #: Digest bits settled by one round of exchanges: runs of 2**BITS nodes are merged at a time.
 BITS = 3
@@ -66,6 +66,7 @@ def merge_runs(runs: DataFrame, rows: int, keep: str = "min") -> DataFrame:
     return merged.drop("node", "run")
 
 
+@releasing
 def _sorted_runs(batches, keep: str):
     """The sorted runs of one partition, numbered by it; of more than RUN_ROWS rows, several."""
     held, rows, run = [], 0, TaskContext.get().partitionId() << 20
@@ -103,6 +104,7 @@ def merge_sorted(runs: Iterable[Iterator[Row]], keep: str = "min") -> Iterator[R
         yield (*key, best, members)
 
 
+@releasing
 def _merged_nodes(batches, keep: str):
     """Merges the runs of each node in turn; rows come by node, run and digest. One node's runs are held at a time, as
     Arrow columns: about 2**BITS * NODE_ROWS rows."""

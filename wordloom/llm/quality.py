@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import hashed_sample, table
+from wordloom.llm.common import hashed_sample, releasing, table
 
 #: Features are hashed to numbers of so many bits.
 BITS = 18
@@ -160,12 +160,14 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@releasing
 def _features_of(batches):
     for batch in batches:
         found = [features(t.as_py()).tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "features", "quality"])
 
 
+@releasing
 def _fitted(batches, most: int):
     """The model of a sample (doc_id, features, quality) as one row."""
     rows, good, size = [], [], 0
@@ -203,6 +205,7 @@ def fit_on_documents(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(np.frombuffer(fitted.weights, np.float32), np.frombuffer(fitted.ratios, np.float32), fitted.bias, fitted.slope, fitted.shift)
 
 
+@releasing
 def _scored(batches, model: Model):
     for batch in batches:
         scores = np.array([model.score(features(t.as_py())) for t in batch.column(1)], float)
@@ -219,6 +222,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+@releasing
 def _good_rows(batches, model: Model, at: int):
     for batch in batches:
         yield batch.filter(pa.array([model.score(features(t.as_py())) >= THRESHOLD for t in batch.column(at)], pa.bool_()))

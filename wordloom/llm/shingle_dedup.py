@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import join_counted, keep_one_each, shuffle_partitions, split_by_suspicion, written
+from wordloom.llm.common import join_counted, keep_one_each, releasing, shuffle_partitions, split_by_suspicion, written
 from wordloom.llm.components import components
 from wordloom.llm.simhash import leading_ids
 
@@ -58,6 +58,7 @@ def bands(own: np.ndarray) -> tuple[list[int], bytes]:
     return keys, (least >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
+@releasing
 def _sketches(batches, shingle: int):
     import xxhash
 
@@ -142,6 +143,7 @@ def _pairs_of_tile(i, low: int, high: int, root, sketches: list[bytes], sets: li
                 yield a, others
 
 
+@releasing
 def _promising(batches, least: float | None):
     for held in _tiles(batches):
         tile = held[0] if len(held) == 1 else pa.Table.from_batches(held)
@@ -181,12 +183,14 @@ def further_pairs(placed: DataFrame, width: int, least: float | None = None) ->
     return sorted_.mapInArrow(partial(_promising, least=least), "a bigint, b bigint").distinct()
 
 
+@releasing
 def _sets(batches, shingle: int):
     for batch in batches:
         sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
+@releasing
 def _of_node(batches, shingle: int):
     """Rows (node, text) whose text has the node's shingle set: an id that repeats can have others."""
     import xxhash
@@ -201,6 +205,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+@releasing
 def _alike(batches, shingle: int, least: float):
     for batch in batches:
         seen = [similarity(shingle_set(a.as_py(), shingle), shingle_set(b.as_py(), shingle)) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]

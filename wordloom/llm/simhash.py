@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import hashed_sample, join_counted, keep_one_each, shuffle_partitions, table, written
+from wordloom.llm.common import hashed_sample, join_counted, keep_one_each, releasing, shuffle_partitions, table, written
 from wordloom.llm.components import components
 
 #: Fingerprints link at so many differing bits or fewer.
@@ -53,6 +53,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
+@releasing
 def _fingerprints(batches, shingle: int):
     for batch in batches:
         found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
@@ -143,6 +144,7 @@ def route(halves: np.ndarray, tree: list[tuple[int, int]], radius: int, visits:
     return row, node, visits
 
 
+@releasing
 def _routed(batches, trees, depth: int):
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
@@ -153,6 +155,7 @@ def _routed(batches, trees, depth: int):
             )
 
 
+@releasing
 def _split_further(batches):
     """Rows (leaf, fp, visits, home) of leaves that hold too much, dealt out by the other half of the bits, within the
     whole radius: points that are alike in one half are spread by the other."""
@@ -254,6 +257,7 @@ def _leaf_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
+@releasing
 def _fitted_trees(batches, depth: int):
     """Both trees of a sample, as one row of bytes."""
     found = [batch.column(0).to_numpy(zero_copy_only=False) for batch in batches]
